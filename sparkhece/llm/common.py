@@ -44,6 +44,19 @@ def fold(key: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int, salt: int) -> DataFrame:
+    """Rows ``(k, k2, y, t)`` of at most ``most`` labelled keys, those of least key hash.
+
+    The sample is drawn from the label table alone, so what is broadcast is bounded by
+    ``most`` at every size and no text is shuffled. ``(k, k2, y)`` orders the rows.
+    """
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
+    chosen = chosen.select(F.xxhash64(F.col(key).cast("string"), F.lit(salt)).alias("k"), F.col(key).alias("_id"), F.col(label).cast("int").alias("y"))
+    chosen = F.broadcast(chosen.orderBy("k", "_id", "y").limit(most))
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("t")).where(F.col("t").isNotNull())
+    return rows.join(chosen, F.col("_key") == F.col("_id")).select("k", F.xxhash64("t").alias("k2"), "y", "t")
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an edge table ``(a, b)``: ``(node, comp)``, comp = least node.
 

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkhece.llm.common import labelled_sample
+
 THRESHOLD = 0.3
 MAX_TRAIN = 20_000
 MAX_PAIRS = 200_000
@@ -121,17 +123,11 @@ def with_features(df: DataFrame, text: str = "text", out: str = "x") -> DataFram
     return df.withColumn(out, F.pandas_udf(_features, "array<double>")(F.col(text)))
 
 
-def train(df: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_train: int = MAX_TRAIN, **params) -> Model:
-    """Fit on a bounded sample of the labelled rows of ``df`` (least key hash, ties by text)."""
-    rows = df.where(F.col(label).isin(0, 1)).select(
-        F.xxhash64(F.col(key).cast("string"), F.lit(3)).alias("k"), F.xxhash64(text).alias("k2"), F.col(label).cast("int").alias("y"), F.col(text).alias("t")
-    )
-    last = rows.select("k", "k2", "y").orderBy("k", "k2", "y").limit(max_train).agg(F.max("k")).first()[0]
-    if last is None:
-        return fit(np.zeros((0, len(NAMES))), np.zeros(0), **params)
-    got = with_features(rows.where(F.col("k") <= last), "t").select("k", "k2", "y", "x").collect()
-    got = sorted(got, key=lambda r: (r["k"], r["k2"], r["y"]))[:max_train]
-    return fit(np.array([r["x"] for r in got]), np.array([r["y"] for r in got]), **params)
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", max_train: int = MAX_TRAIN, **params) -> Model:
+    """Fit on the texts of at most ``max_train`` rows of ``labels(key, label)``."""
+    rows = labelled_sample(docs, labels, key, text, label, max_train, salt=3)
+    got = with_features(rows, "t").select("k", "k2", "y", "x").orderBy("k", "k2", "y").limit(max_train).collect()
+    return fit(np.array([r["x"] for r in got]).reshape(-1, len(NAMES)), np.array([r["y"] for r in got]), **params)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:

@@ -29,8 +29,7 @@ def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    learn = docs.join(labels.where(fold(F.col("doc_id"), 5) != 0), "doc_id")
-    model = quality.train(learn)
+    model = quality.train(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
     scored = quality.score(docs, model, out="score")
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
@@ -72,7 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = fold(F.col("doc_id"), 3) == 1
-    model = toxicity.train(docs.join(labels.where(~held), "doc_id"))
+    model = toxicity.train(docs, labels.where(~held))
     scored = toxicity.score(docs, model, out="score")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkhece.llm.common import labelled_sample
+
 BITS = 20
 MAX_TRAIN = 12_000
 MIN_ROWS = 4  # a feature of fewer training rows keeps weight 0 under the L1 term; it is left out beforehand
@@ -76,22 +78,18 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int
     return Model(index.astype(np.uint32), w[index], float(w[-1]), bits)
 
 
-def train(df: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_train: int = MAX_TRAIN, **params) -> Model:
-    """Fit on a bounded sample of the labelled rows of ``df`` (see ``max_train``)."""
-    rows = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    rows = rows.select(F.xxhash64(F.col(key).cast("string"), F.lit(9)).alias("k"), F.xxhash64(text).alias("k2"), F.col(label).cast("int").alias("y"), F.col(text).alias("t"))
-
-    # the rows to learn from are settled on keys alone; texts are hashed only for those
-    last = rows.select("k", "k2", "y").orderBy("k", "k2", "y").limit(max_train).agg(F.max("k")).first()[0]
-    if last is None:
-        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
+def _packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(lambda t: hashed(t).astype(np.uint32).tobytes())
 
-    @F.pandas_udf("binary")
-    def packed(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: hashed(t).astype(np.uint32).tobytes())
 
-    got = rows.where(F.col("k") <= last).orderBy("k", "k2", "y").limit(max_train).select("k", "k2", "y", packed("t").alias("x")).collect()
-    got.sort(key=lambda r: (r["k"], r["k2"], r["y"]))
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_train: int = MAX_TRAIN, **params) -> Model:
+    """Fit on the texts of at most ``max_train`` rows of ``labels(key, label)``."""
+    rows = labelled_sample(docs, labels, key, text, label, max_train, salt=9)
+    rows = rows.select("k", "k2", "y", F.pandas_udf(_packed, "binary")("t").alias("x"))
+    got = rows.orderBy("k", "k2", "y").limit(max_train).collect()
+    if not got:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     return fit([np.frombuffer(r["x"], dtype=np.uint32) for r in got], [r["y"] for r in got], **params)
 
 
