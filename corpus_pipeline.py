@@ -16,9 +16,8 @@ from sparkhece.llm.queries import MIX_TARGETS
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that score below the threshold go."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).where(fold(F.col("_id"), 5) != 0)
-    learn = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id"))
-    model = quality.train(learn, label="_quality")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) != 0)
+    model = quality.train(docs, labels)
     return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
 
 
