@@ -155,7 +155,7 @@ def match(a: Node, b: Node, found: dict[int, Node]) -> int:
     """Simple tree matching of two nodes with equal labels; ``found`` maps leaves of ``a`` (by id) to those of ``b``."""
     if a.tag == "#text":
         found[id(a)] = b
-        return 1
+        return 2 if a.text == b.text else 1  # equal texts first, among mappings of equal shape
     n, m = len(a.kids), len(b.kids)
     if not n or not m:
         return 1
