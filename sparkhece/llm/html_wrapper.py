@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction.
 
 Each page is parsed into a tree of block elements whose leaves are runs of inline text. Every
-page of a host is aligned with the host's reference page (the one of least html hash) by
-simple tree matching: the largest order-preserving mapping of nodes with equal labels that
+page of a host is aligned with the host's reference page (of the pages with the host's most
+frequent set of tags the one of least html hash) by simple tree matching: the largest order-preserving mapping of nodes with equal labels that
 maps parents to parents. A leaf slot of the reference whose text is the same on most aligned
 pages is template; slots that vary, and leaves that align with none, are content.
 
@@ -201,20 +201,24 @@ def _reference(page: str | None) -> Node:
     return number(parse(page))
 
 
-def blocks(page: str | None, reference: str | None) -> list[tuple[int, bool, bool, str]]:
-    """Content candidates of a page: (slot, same text as the reference, sure, text)."""
+def blocks(page: str | None, reference: str | None) -> list[tuple[int, bool | None, bool, str]]:
+    """Content candidates of a page: (slot, same text as the reference, sure, text).
+
+    A copy of the reference has slots, but says nothing about what stays the same (None).
+    """
     root = parse(page)
     own = [x for x in leaves(root) if not x.chrome]
     inside = [x for x in own if x.main]
     if inside:
         return [(-1, False, True, x.text) for x in inside]
     found: dict[int, Node] = {}
-    if reference is not None and page != reference:
+    copy = page == reference
+    if reference is not None:
         match(root, _reference(reference), found)
     out = []
     for x in own:
         y = found.get(id(x))
-        out.append((y.slot, y.text == x.text, False, x.text) if y is not None else (-1, False, False, x.text))
+        out.append((y.slot, None if copy else y.text == x.text, False, x.text) if y is not None else (-1, False, False, x.text))
     return out
 
 
@@ -228,14 +232,16 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1), F.lit("")))
     body = F.coalesce(F.col(page), F.lit(""))
     named = pages.withColumn("_host", host)
-    least = named.groupBy("_host").agg(F.min(F.struct(F.xxhash64(body), F.length(body).alias("n"))).alias("at"))
+    shape = F.hash(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit("<([a-z][a-z0-9]*)"), F.lit(1)))))
+    least = named.groupBy("_host", shape.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64(body), F.length(body).alias("n"))).alias("at"))
+    least = least.groupBy("_host").agg(F.max_by("at", F.struct("n", "s")).alias("at"))
     first = named.select("_host", body.alias("_ref")).join(materialize(least, "hosts"), "_host").where(F.struct(F.xxhash64("_ref"), F.length("_ref")) == F.col("at"))
     first = materialize(first.groupBy("_host").agg(F.min("_ref").alias("_ref")), "references")
-    shape = "array<struct<slot:int,same:boolean,sure:boolean,text:string>>"
-    cut = named.join(first, "_host").withColumn("_blocks", F.pandas_udf(_candidates, shape)(body, F.col("_ref")))
+    kind = "array<struct<slot:int,same:boolean,sure:boolean,text:string>>"
+    cut = named.join(first, "_host").withColumn("_blocks", F.pandas_udf(_candidates, kind)(body, F.col("_ref")))
     cut = materialize(cut.drop("_ref"), "blocks")
     slots = cut.select("_host", F.explode("_blocks").alias("b")).where("NOT b.sure AND b.slot >= 0")
-    slots = slots.groupBy("_host", "b.slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("int")).alias("same"))
+    slots = slots.groupBy("_host", "b.slot").agg(F.count("b.same").alias("n"), F.sum(F.col("b.same").cast("int")).alias("same"))
     fixed = slots.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
     fixed = materialize(fixed.groupBy("_host").agg(F.collect_set("slot").alias("_fixed")), "template")
     done = cut.join(fixed, "_host", "left").withColumn("_fixed", F.coalesce("_fixed", F.array().cast("array<int>")))

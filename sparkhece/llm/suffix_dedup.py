@@ -339,7 +339,7 @@ def _runs(length: int, parts: int):
 def _merged(length: int):
     reach = length - length // 2 + 1
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         group: list[tuple[int, bytes, int, int, int]] = []
         for row in merge([decode(b) for b in frame["block"]]):
