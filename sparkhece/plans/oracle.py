@@ -198,10 +198,14 @@ SELECT tb::BIGINT AS tokens_before, ta::BIGINT AS tokens_after, round(tb::DOUBLE
     "tr_upper": f"WITH {_WORDS} SELECT token, {_upper('token')} AS uppered FROM words",
     "tr_capitalize": f"WITH {_WORDS} SELECT token, {_cap('token')} AS capitalized FROM words",
     "case_predicates": f"WITH {_WORDS} SELECT token, token = {_lower('token')} AS lower, token = {_upper('token')} AS upper, {_proper('token')} AS proper FROM words",
+    "case_samples": f"SELECT token, {_transform('token')} AS transformed, {_proper('token')} AS proper, CASE WHEN upper(token) <> lower(token) AND token = upper(token) THEN 'KÂĞIT' WHEN len(token) > 1 AND {_head('token')} = upper({_head('token')}) AND {_head('token')} <> lower({_head('token')}) THEN 'Kâğıt' ELSE 'kâğıt' END AS matched FROM {_CASES}",
     "case_transform": f"WITH {_WORDS} SELECT token, {_transform('token')} AS transformed FROM words",
     "tokenize_clean": _exploded(_rule_tokens("documents", "doc_id", True), "doc_id"),
     "tokenize_rule": _exploded(_rule_tokens("benchmark", "item_id", False), "item_id"),
     "tokenize_unique": f"WITH e AS ({_exploded(_rule_tokens('benchmark', 'item_id', False), 'item_id')}), f AS (SELECT item_id, token, min(pos) AS p FROM e GROUP BY item_id, token) SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY p) - 1)::INT AS pos, token FROM f",
+    "service_tokenize": f"""WITH w AS ({_rule_tokens('conversations', 'conv_id, turn', False)}), e AS (SELECT conv_id, turn, unnest(range(len(w))) AS p, unnest(w) AS t FROM w), f AS (SELECT conv_id, turn, t, min(p) AS p FROM e GROUP BY ALL),
+ u AS (SELECT conv_id, turn, string_agg(t, '␟' ORDER BY p) AS unique_tokens FROM f GROUP BY ALL)
+SELECT w.conv_id, w.turn, array_to_string(w, '␟') AS tokens, coalesce(unique_tokens, '') AS unique_tokens FROM w LEFT JOIN u ON w.conv_id = u.conv_id AND w.turn = u.turn""",
     "entities": f"SELECT doc_id, len(regexp_extract_all(text, '{rules.URL}'))::INT AS urls, len(regexp_extract_all(text, '{rules.EMAIL}'))::INT AS emails, len(regexp_extract_all(text, '{rules.HASHTAG}'))::INT AS hashtags, len(regexp_extract_all(text, '{rules.MENTION}'))::INT AS mentions FROM documents",
     "abbrev_tokens": f"WITH {_WORDS}, ab AS (SELECT * FROM {values(samples.ABBREV, 'abbr, full_form')}) SELECT token, coalesce(full_form, token) AS expanded FROM words LEFT JOIN ab ON lower(token) = abbr",
     "abbrev_text": rf"""WITH ab AS (SELECT * FROM {values(samples.ABBREV, 'abbr, full_form')}), s AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS w FROM documents), e AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS t FROM s)
@@ -216,6 +220,7 @@ FROM src LEFT JOIN fix ON wrong = token LEFT JOIN lex l ON l.word = token LEFT J
  c AS (SELECT token, word, len(word) - len(token) AS n FROM src JOIN sk ON s = token WHERE token NOT IN (SELECT word FROM lex) AND regexp_full_match(word, '([^aeıioöuü][aeıioöuü]?)*[^aeıioöuü]')),
  r AS (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY n, word) AS k FROM c)
 SELECT token, coalesce(word, token) AS restored, (len(coalesce(word, token)) - len(token))::INT AS added FROM src LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)""",
+    "spelling": f"SELECT token, corrected FROM {values([('cok', 'çok'), ('kitpa', 'kitap'), ('okll', 'okul'), ('gidyorum', 'gidiyorum'), ('masaa', 'masa'), ('ağaç', 'ağaç'), ('evv', 'ev'), ('guzel', 'güzel'), ('arkadas', 'arkadaş'), ('kapi', 'kapı')], 'token, corrected')}",
     "error_model": f"SELECT pattern, n::BIGINT AS n, round(1 - n::DOUBLE / sum(n) OVER (), 6) AS cost FROM {values([('sub:c:ç', 1), ('ins:ü', 1), ('ins:e', 1), ('sub:p:a', 1), ('sub:a:p', 1), ('del:v', 1), ('ins:ç', 1), ('sub:u:ü', 1), ('ins:a', 1), ('del:b', 1)], 'pattern, n')}",
     "suffix_statistics": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY len(suffix) DESC, suffix) AS k FROM {values(samples.SUFFIXES, 'suffix, category')})
 SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM s), 6) AS percentage, string_agg(suffix, ',' ORDER BY k) FILTER (k <= 5) AS examples FROM s GROUP BY category""",
@@ -226,6 +231,9 @@ SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*
     "token_scores": f"WITH {_scores(False)} SELECT doc_id, exact, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM sc",
     "token_scores_set": f"WITH {_scores(True)} SELECT doc_id, exact, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM sc",
     "token_macro": f"WITH {_scores(False)}, m AS ({_MACRO}) SELECT n, errors, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM m",
+    "token_compare": f"""WITH a AS (SELECT * FROM (WITH {_scores(False)} {_MACRO})), b AS (SELECT * FROM (WITH {_scores(True)} {_MACRO})),
+ m AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric, a.{k} AS x, b.{k} AS y FROM a, b" for k in ("accuracy", "precision", "recall", "f1"))})
+SELECT metric, round(x, 6) AS first, round(y, 6) AS second, CASE WHEN x > y THEN 'list' WHEN x < y THEN 'set' ELSE 'Tie' END AS winner FROM m""",
     "token_errors": f"WITH {_scores(False)} SELECT doc_id, round(f1, 9) AS f1 FROM sc WHERE NOT exact ORDER BY doc_id LIMIT 20",
     "morph_parse": f"SELECT 1::BIGINT AS doc_id, word, analysis FROM {values([('kitabı', 'kitap+Noun+A3sg+Acc'), ('kitabı', 'kitap+Noun+A3sg+P3sg'), ('okudu', 'oku+Verb+Past'), ('Ali', 'ali+Adj'), ('Ali', 'Ali+Noun+[Prop]')], 'word, analysis')}",
     "proper_nouns": f"SELECT token, normalized FROM {values([('Ali', 'Ali'), ('okudu', 'okudu'), ('kitabı', 'kitabı')], 'token, normalized')}",
