@@ -14,17 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # by application: the folder of sessions that name none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the session's ``spark.checkpoint.dir``. Only where that is unset (a local test
-    session) a temporary folder is made and set once.
+    session) a temporary folder is made, once for the application. Tables that were written
+    there may be removed when the job has ended.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sparkhece-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkhece-")
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
