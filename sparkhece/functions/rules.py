@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-# Colloquial endings and their standard forms, in the order they are applied.
-# Each rule is (what must stand before the ending, ending, replacement of the ending).
-# "VC" is a vowel and a consonant, "V" a vowel of the class given, "" any word character.
+# Colloquial endings and their standard forms, in the order they are applied. A rule is
+# (pattern of the whole word, replacement in Java's notation); word bounds are added where it is used.
 _V = "[aeiouöüı]"
 _C = "[bçdfghjklmnprsştvyz]"
 
