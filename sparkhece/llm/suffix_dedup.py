@@ -19,8 +19,9 @@ elsewhere too. Steps:
 4. In a group the common prefixes (to the right) and the common reversed left parts tell which
    strings around an anchor occur twice. That settles each string at exactly one anchor.
 
-Groups of more than ``hot`` suffixes (a line that a third of all documents share) never come
-together: their strings are counted one by one with partial aggregation instead.
+Texts are written once, bucketed by their digest, and no later join shuffles them. Groups of more
+than ``hot`` suffixes (a line that a third of all documents share) never come together:
+their strings are counted one by one with partial aggregation instead.
 
 Defined results: null is the empty text; texts shorter than ``length`` bytes stay whole;
 overlapping occurrences count; repeated rows cover each other.
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import materialize
+from sparkhece.llm.common import materialize, shared_dir
 
 LENGTH, GRAM, HOT = 200, 16, 50_000
 PART_BYTES, RUN_BYTES = 8 << 20, 64 << 20
-BROADCAST_BYTES = 48 << 20
 _M = (1 << 64) - 1
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -110,34 +111,49 @@ def _batches(frames: Iterator[pd.DataFrame], most: int = 1 << 18) -> Iterator[pd
 
 
 def _anchor_rows(length: int):
+    """Anchors of a task's texts, as rows ``(k, x, tid, w, known)`` with ``h = k ^ x``.
+
+    Of the anchors of a task that share a hash one goes out under the hash (``k = h``); it
+    stands for the others, which are known to be repeated and are spread evenly by a ``k`` of
+    their own. So a passage that very many texts hold sends one row a task to one partition.
+    """
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = []
         for part in _batches(frames):
             owner, p, lo, hi, h = anchors(part["t"].tolist(), length)
-            yield pd.DataFrame({"h": h, "tid": part["tid"].to_numpy()[owner], "w": (p << 16) | (hi << 8) | lo})
+            kept.append((h, part["tid"].to_numpy()[owner], (p << 16) | (hi << 8) | lo))
+        if not kept:
+            return
+        h, tid, w = (np.concatenate(x) for x in zip(*kept, strict=True))
+        _, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        other = np.ones(len(h), dtype=bool)
+        other[first] = False
+        k = h.copy()
+        k[other] = (tid[other] * 0x9E3779B1 + w[other]) * 0x2545F4914F6CDD1D
+        for at in range(0, len(h), 1 << 16):
+            cut = slice(at, at + (1 << 16))
+            yield pd.DataFrame({"k": k[cut], "x": k[cut] ^ h[cut], "tid": tid[cut], "w": w[cut], "known": count[back[cut]] > 1})
 
     return run
 
 
 def _repeated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by ``h``, those whose ``h`` occurs again. Holds one row over batches."""
-    held: pd.DataFrame | None = None  # the last row, when the next batch may repeat its hash
-    known = False  # whether that row's hash was seen before it
+    """Of rows sorted by ``k``, those that are known or whose ``k`` occurs again. Holds one row over batches."""
+    held: pd.DataFrame | None = None  # the last row, while nothing says yet that it is repeated
+    last: int | None = None
     for frame in frames:
         if not len(frame):
             continue
-        before = None if held is None else held["h"].iloc[0]
-        h = frame["h"].to_numpy()
-        if held is not None and (known or h[0] == before):
+        k = frame["k"].to_numpy()
+        again = last is not None and k[0] == last
+        if held is not None and again:
             yield held
-        up = np.concatenate([[before is not None and h[0] == before], h[1:] == h[:-1]])
-        down = np.concatenate([h[1:] == h[:-1], [False]])
-        keep = up | down
-        keep[-1] = False
-        held, known = frame.iloc[[-1]], bool(up[-1])
+        same = k[1:] == k[:-1]
+        keep = frame["known"].to_numpy() | np.concatenate([[again], same]) | np.concatenate([same, [False]])
+        held, last = None if keep[-1] else frame.iloc[[-1]], k[-1]
         if keep.any():
             yield frame[keep]
-    if held is not None and known:
-        yield held
 
 
 def common(a: bytes, b: bytes, at: int = 0) -> int:
@@ -391,44 +407,55 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "n_removed", "kept_sha256", "spans"])
 
 
-def _near(df: DataFrame, column: str) -> DataFrame:
-    """Broadcast what ``column`` (arrays of longs) measures to be small enough; else leave it to a shuffled join."""
-    size = df.agg(F.sum(F.size(column) * 16 + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+def _text_table(docs: DataFrame, text: str, length: int) -> DataFrame:
+    """Distinct texts ``(tid, key, copied, t)``, bucketed by ``key`` in the shared folder.
+
+    Later joins on ``key`` then shuffle only what is joined to the texts, never the texts.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.sha2(text, 256).alias("key"), F.col(text).alias("s")).where(F.octet_length("s") >= length)
+    rows = rows.groupBy("key").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
+    rows = rows.select(F.monotonically_increasing_id().alias("tid"), "key", (F.col("copies") > 1).alias("copied"), F.col("s").cast("binary").alias("t"))
+    name = f"suffix_texts_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    writer.bucketBy(parts, "key").saveAsTable(name)
+    return spark.table(name)
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
     """Add struct ``dedup(n_bytes, n_removed, kept_sha256, spans)``; ``spans`` are the removed byte ranges."""
     if length < 2 * GRAM + 2 or length > 500:
         raise ValueError("length must be 34 to 500 bytes")
-    rows = docs.select(F.col(text).alias("s")).where(F.octet_length("s") >= length).groupBy("s").agg(F.count(F.lit(1)).alias("copies"))
-    texts = materialize(rows.select(F.monotonically_increasing_id().alias("tid"), F.sha2("s", 256).alias("key"), (F.col("copies") > 1).alias("copied"), F.col("s").cast("binary").alias("t")), "texts")
-
-    found = texts.select("tid", "t").mapInPandas(_anchor_rows(length), "h long, tid long, w long")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    again = materialize(found.repartition(parts, "h").sortWithinPartitions("h").mapInPandas(_repeated, "h long, tid long, w long"), "suffixes")
+    texts = _text_table(docs, text, length)
+    names = texts.select("tid", "key")
+
+    found = texts.select("tid", "t").mapInPandas(_anchor_rows(length), "k long, x long, tid long, w long, known boolean")
+    found = found.repartition(parts, "k").sortWithinPartitions("k").mapInPandas(_repeated, "k long, x long, tid long, w long, known boolean")
+    again = materialize(found.select(F.col("k").bitwiseXOR(F.col("x")).alias("h"), "tid", "w"), "suffixes")
     groups = again.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("h")
     groups = materialize(groups, "hot")
     any_hot = groups.count()
     cold = again.join(F.broadcast(groups) if any_hot < 1_000_000 else groups, "h", "left_anti") if any_hot else again
 
-    def by_text(df: DataFrame) -> DataFrame:
-        packed = df.groupBy("tid").agg(F.collect_list(F.struct("w", "h")).alias("x"))
-        return packed.select("tid", F.col("x.w").alias("ws"), F.col("x.h").alias("hs"))
+    def by_key(df: DataFrame) -> DataFrame:
+        """Anchors of each text; their number is bounded by the text's length."""
+        packed = df.groupBy("tid").agg(F.collect_list(F.struct("w", "h")).alias("x")).select("tid", F.col("x.w").alias("ws"), F.col("x.h").alias("hs"))
+        return names.join(packed.hint("merge"), "tid").select("key", "ws", "hs")
 
-    n_cold = cold.count()
-    cold = materialize(by_text(cold), "by-text")
-    n_parts = max(1, -(-n_cold * (length + length // 2) // part_bytes))
-    runs = texts.select("tid", "t").join(_near(cold, "ws"), "tid").mapInPandas(_runs(length, n_parts), "part long, block binary")
+    n_parts = max(1, -(-cold.count() * (length + length // 2) // part_bytes))
+    runs = texts.select("key", "tid", "t").join(by_key(cold).hint("merge"), "key").mapInPandas(_runs(length, n_parts), "part long, block binary")
     ranges = runs.groupBy("part").applyInPandas(_merged(length), "tid long, a int, b int")
     if any_hot:
-        warm = materialize(by_text(again.join(groups, "h", "left_semi")), "hot-by-text")
-        every = materialize(texts.select("tid", "t").join(_near(warm, "ws"), "tid").mapInPandas(_strings(length), "tid long, a int, d binary"), "strings")
+        every = texts.select("key", "tid", "t").join(by_key(again.join(groups, "h", "left_semi")).hint("merge"), "key")
+        every = materialize(every.mapInPandas(_strings(length), "tid long, a int, d binary"), "strings")
         twice = every.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d")
         ranges = ranges.union(every.join(materialize(twice, "twice"), "d", "left_semi").select("tid", "a", (F.col("a") + length).alias("b")))
-    ranges = materialize(ranges.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("tid", F.col("x.a").alias("a"), F.col("x.b").alias("b")), "ranges")
-    touched = texts.where("NOT copied").join(_near(ranges, "a"), "tid").select("key", "t", "a", "b")
+    ranges = ranges.groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("x")).select("tid", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    ranges = names.join(ranges.hint("merge"), "tid").select("key", "a", "b")
+    touched = texts.where("NOT copied").select("key", "t").join(ranges.hint("merge"), "key")
     spans = "array<struct<a:int,b:int>>"
     done = touched.mapInPandas(_cut, f"key string, n_removed long, kept_sha256 string, spans {spans}")
     whole = texts.where("copied").select(

@@ -135,10 +135,10 @@ def test_spans_unite():
 def test_repeats_over_batches():
     import pandas as pd
 
-    h = [1, 1, 2, 3, 3, 3, 4, 5, 5]
-    for size in (1, 2, 3, 9):
-        frames = [pd.DataFrame({"h": h[i : i + size]}) for i in range(0, len(h), size)]
-        assert sorted(x for f in suffix_dedup._repeated(iter(frames)) for x in f["h"]) == [1, 1, 3, 3, 3, 5, 5]
+    k = [1, 1, 2, 3, 3, 3, 4, 5, 5, 6, 7]
+    for size in (1, 2, 3, 11):
+        frames = [pd.DataFrame({"k": k[i : i + size], "known": [x == 6 for x in k[i : i + size]]}) for i in range(0, len(k), size)]
+        assert sorted(x for f in suffix_dedup._repeated(iter(frames)) for x in f["k"]) == [1, 1, 3, 3, 3, 5, 5, 6]
 
 
 # ---- SimHash -----------------------------------------------------------------------------
