@@ -88,6 +88,11 @@ def consonants(word: Column | str) -> Column:
     return F.regexp_replace(F.lower(_col(word)), f"[{rules.VOWELS}]", "")
 
 
+def segments(word: Column | str) -> Column:
+    """Runs of one consonant and the vowels behind it; leading vowels are a run of their own."""
+    return _array(F.regexp_extract_all(F.lower(_col(word)), F.lit(rf"(^[{rules.VOWELS}]+|[^{rules.VOWELS}][{rules.VOWELS}]*)"), F.lit(1)))
+
+
 def vowel_additions(word: Column | str, candidate: Column | str) -> Column:
     """Vowels that the candidate has more than the word."""
     vowels = lambda c: F.length(F.regexp_replace(F.lower(_col(c)), f"[^{rules.VOWELS}]", ""))

@@ -74,6 +74,39 @@ def _cased(best: Column, original: Column) -> Column:
     return F.array_join(pairs, "")
 
 
+def correct_by_list(words: DataFrame, column: str = "token", out: str = "corrected") -> DataFrame:
+    """Whole-word corrections alone, in the case of the original."""
+    joined = words.join(F.broadcast(corrections(words.sparkSession)), F.lower(column) == F.col("wrong"), "left")
+    new = F.when(F.col("right").isNotNull(), match_case(F.col("right"), F.col(column))).otherwise(F.col(column))
+    return joined.select(*words.columns, new.alias(out))
+
+
+def diacritic_variants(word: str | None, most: int = 200) -> list[str]:
+    """All spellings of a word with marked letters in place of plain ones, left to right; ``most`` after each letter."""
+    if not word:
+        return [] if word is None else [word]
+    forms = [""]
+    for c in word:
+        low = c.lower()
+        marked = {"i": "ıî"}.get(low, rules.DIACRITIC_PAIRS.get(low, ""))
+        if not marked:
+            forms = [f + c for f in forms]
+            continue
+        options = [o.upper() if c.isupper() else o for o in low + marked]
+        forms = [f + o for f in forms for o in options][:most]
+    return forms
+
+
+def variants_column(token: Column | str, most: int = 200) -> Column:
+    """``diacritic_variants`` as ``array<string>``. The join on folds in ``restore_diacritics`` needs no such list."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda w: diacritic_variants(w, most))
+
+    return F.pandas_udf(run, "array<string>")(F.col(token) if isinstance(token, str) else token)
+
+
 def restore_vowels(words: DataFrame, lexicon: DataFrame, column: str = "token", out: str = "restored") -> DataFrame:
     """Known words stay; else the lexicon word that adds the fewest vowels, ties alphabetically; else the word.
 

@@ -216,6 +216,11 @@ SELECT doc_id, string_agg(CASE WHEN full_form IS NOT NULL AND regexp_full_match(
 SELECT token, CASE WHEN len(token) <= 1 THEN token WHEN right_form IS NOT NULL THEN lower(replace(right_form, 'İ', 'i̇')) WHEN l.word IS NOT NULL THEN token ELSE coalesce(best.word, token) END AS restored
 FROM src LEFT JOIN fix ON wrong = token LEFT JOIN lex l ON l.word = token LEFT JOIN best ON f = token AND k = 1""",
     "diacritic_scores": f"WITH {_LEX} SELECT word, (CASE WHEN len(word) > 3 THEN 10 ELSE 0 END + CASE WHEN regexp_matches(word, '(yor|miş|muş|mış)$') THEN 2 ELSE 0 END + 0.5 * ({_TR.format('word')}))::DOUBLE AS score FROM lex",
+    "corrections": f"""WITH {_WORDS}, {_FIXES}
+SELECT token, CASE WHEN right_form IS NULL THEN token WHEN token = upper(token) AND token <> lower(token) THEN upper(right_form)
+ WHEN len(token) > 1 AND {_head('token')} = upper({_head('token')}) AND {_head('token')} <> lower({_head('token')}) THEN upper({_head('right_form')}) || lower(substr(right_form, 2))
+ ELSE lower(replace(right_form, 'İ', 'i̇')) END AS corrected FROM words LEFT JOIN fix ON lower(token) = wrong""",
+    "segments": f"WITH {_LEX} SELECT word, array_to_string(regexp_extract_all(word, '^[aeıioöuü]+|[^aeıioöuü][aeıioöuü]*'), '-') AS segments FROM lex",
     "vowels": f"""WITH {_LEX}, sk AS (SELECT word, {_SKEL.format('word')} AS s FROM lex), src AS (SELECT DISTINCT s AS token FROM sk WHERE s <> ''),
  c AS (SELECT token, word, len(word) - len(token) AS n FROM src JOIN sk ON s = token WHERE token NOT IN (SELECT word FROM lex) AND regexp_full_match(word, '([^aeıioöuü][aeıioöuü]?)*[^aeıioöuü]')),
  r AS (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY n, word) AS k FROM c)

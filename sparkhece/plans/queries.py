@@ -184,6 +184,19 @@ def diacritic_scores(spark, sf):
     return lex.select("word", text.candidate_score("word", F.length("word") > 3).alias("score"))
 
 
+def corrections(spark, sf):
+    return normalize.correct_by_list(_words(spark, sf))
+
+
+def diacritic_variants(spark, sf):
+    words = _t(spark, sf, "benchmark").select(F.explode(text.corpus_tokens("text")).alias("token")).distinct()
+    return words.select("token", F.posexplode(normalize.variants_column("token")).alias("pos", "variant"))
+
+
+def segments(spark, sf):
+    return _vocabulary(spark, sf).select("word", F.array_join(text.segments("word"), "-").alias("segments"))
+
+
 def vowels(spark, sf):
     lex = _vocabulary(spark, sf)
     words = lex.select(text.consonants("word").alias("token")).where("token <> ''").distinct()
@@ -404,6 +417,9 @@ QUERIES: dict[str, Query] = {
     "diacritics": diacritics,
     "diacritics_text": diacritics_text,
     "diacritic_scores": diacritic_scores,
+    "corrections": corrections,
+    "diacritic_variants": diacritic_variants,
+    "segments": segments,
     "vowels": vowels,
     "spelling": spelling,
     "spelling_corpus": spelling_corpus,

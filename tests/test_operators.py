@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from sparkhece.functions import text
 from sparkhece.operators import evaluate, mltok, normalize, sentences, stem, stopwords, tokenize
 from sparkhece.plans import samples, services
 from sparkhece.register import register
@@ -89,6 +90,14 @@ def test_diacritics_and_vowels(spark):
     assert got == {"ktp": "kitap", "okl": "okl", "kitap": "kitap", "zzz": "zzz"}
 
 
+def test_variants_and_corrections(spark, column):
+    assert normalize.diacritic_variants("si") == ["si", "sı", "sî", "şi", "şı", "şî"] and normalize.diacritic_variants("Ub") == ["Ub", "Üb"]
+    assert len(normalize.diacritic_variants("s" * 12)) == 200 and normalize.diacritic_variants("") == [""]
+    words = spark.createDataFrame([("Cok",), ("x",), (None,)], "token string")
+    assert sorted((r.token or "", r.corrected or "") for r in normalize.correct_by_list(words).collect()) == [("", ""), ("Cok", "Çok"), ("x", "x")]
+    assert column(text.segments, ["aekitap", "brr", "", None]) == [["ae", "ki", "ta", "p"], ["b", "r", "r"], [], []]
+
+
 def test_spelling():
     assert dict(reversed(list(normalize.one_edit("cok"))))["çok"] == 0.3
     prob = {"oğl": 0.5, "kal": 0.5}
