@@ -9,8 +9,9 @@ sets (64-bit shingle hashes), and clusters are connected components.
 Equal paragraphs are one row before banding, so a line that a third of all documents share
 costs one signature. In a bucket of at most ``pair_limit`` distinct paragraphs all pairs are
 verified (linear by the constant limit). In a larger bucket each member is verified against
-the least one, and the bucket is banded again by each other band; those narrower buckets are
-treated the same way. Nothing is dropped for the size of its bucket.
+the head, the member that meets the most others; members that no verified pair has joined to
+the head's component are then compared with the whole bucket exactly, in blocks dealt over
+tasks. Components are thus those of all colliding pairs.
 
 The first occurrence of a cluster (least document, then position) stays, the others go.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkhece.llm.common import components, materialize
 
-BANDS, ROWS, SHINGLE, JACCARD, MIN_WORDS, PAIR_LIMIT = 16, 4, 5, 0.8, 25, 32
+BANDS, ROWS, SHINGLE, JACCARD, MIN_WORDS, PAIR_LIMIT, BLOCK = 16, 4, 5, 0.8, 25, 32, 256
 MAX_BROADCAST = 1_000_000  # rows of two longs at most; checked by a count before a broadcast
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(256)], dtype=np.uint64)
 
@@ -80,26 +81,83 @@ def _sized(df: DataFrame, rows: int, most: int = MAX_BROADCAST) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def _meet(members: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of buckets ``(key, pid)``, and the members of the large ones."""
-    groups = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("head")).where("n > 1")
-    groups = materialize(groups, "buckets")
+def _meet(signed: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``(a, b)`` to verify, and the members ``(key, pid, head)`` of large buckets.
+
+    The head of a large bucket is the member whose buckets hold the most paragraphs in all.
+    """
+    members = signed.select("pid", F.explode("keys").alias("key"))
+    groups = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     held = materialize(members.join(_sized(groups, groups.count()), "key"), "members")
     small = held.where(F.col("n") <= pair_limit)
     pairs = small.select("key", F.col("pid").alias("a")).join(small.select("key", F.col("pid").alias("b")), "key").where("a < b").select("a", "b")
-    large = held.where(F.col("n") > pair_limit)
-    stars = large.where("pid <> head").select(F.col("head").alias("a"), F.col("pid").alias("b"))
+    large = held.where(F.col("n") > pair_limit).select("key", "pid")
+    met = held.groupBy("pid").agg(F.sum("n").alias("met"))
+    large = materialize(large.join(met, "pid"), "large")
+    heads = large.groupBy("key").agg(F.max(F.struct("met", "pid"))["pid"].alias("head"))
+    heads = materialize(heads, "heads")
+    large = large.select("key", "pid").join(_sized(heads, heads.count()), "key")
+    stars = large.where("pid <> head").select(F.least("head", "pid").alias("a"), F.greatest("head", "pid").alias("b"))
     return pairs.union(stars).distinct(), large
 
 
+def near_pairs(x: list[np.ndarray], y: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of two lists of shingle sets with at least the given Jaccard."""
+    sizes_x, sizes_y = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(flat_x, flat_y)
+    common = np.zeros((len(x), len(y)), dtype=np.float32)
+    of_x, of_y = np.repeat(np.arange(len(x)), sizes_x), np.repeat(np.arange(len(y)), sizes_y)
+    for at in range(0, len(shared), 4096):
+        part = shared[at : at + 4096]
+        dense = []
+        for flat, of, n in ((flat_x, of_x, len(x)), (flat_y, of_y, len(y))):
+            k = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[k] == flat
+            m = np.zeros((n, len(part)), dtype=np.float32)
+            m[of[hit], k[hit]] = 1
+            dense.append(m)
+        common += dense[0] @ dense[1].T
+    return np.nonzero(common >= jaccard * (sizes_x[:, None] + sizes_y[None, :] - common) - 1e-3)
+
+
+def _unlinked(large: DataFrame, sets: DataFrame, comp: DataFrame, jaccard: float, block: int = BLOCK) -> DataFrame:
+    """Edges between members of large buckets that no edge has joined yet: exact, block by block.
+
+    Members linked to the head of their bucket need no comparison with each other. Every
+    other member is compared with all of its bucket; both sides are dealt out in blocks, and
+    each pair of blocks is one group, so a bucket of any size spreads over many tasks.
+    """
+    comp = materialize(comp, "linked")
+    lead = comp.select(F.col("pid").alias("head"), F.col("comp").alias("lead"))
+    own = large.join(comp, "pid", "left").join(lead, "head", "left")
+    own = own.select("key", "pid", F.coalesce("comp", "pid").alias("comp"), F.coalesce("lead", "head").alias("lead"))
+    own = materialize(own.select("key", "pid", "comp", (F.col("comp") != F.col("lead")).alias("open")), "unlinked")
+    counts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("o")).where("o > 0")
+    counts = materialize(counts.select("key", F.ceil(F.col("n") / block).alias("nb"), F.ceil(F.col("o") / block).alias("ob")), "blocks")
+    own = own.join(_sized(counts, counts.count()), "key")
+    at = F.xxhash64("pid", "key")
+    every = own.select("key", "pid", "comp", F.pmod(at, F.col("nb")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1)).alias("i"))
+    some = own.where("open").select("key", "pid", "comp", F.pmod(at, F.col("ob")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        i, j = near_pairs(left["s"].tolist(), right["s"].tolist(), jaccard)
+        a, b = left["pid"].to_numpy()[i], right["pid"].to_numpy()[j]
+        far = left["comp"].to_numpy()[i] != right["comp"].to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b)[far], "b": np.maximum(a, b)[far]})
+
+    side = [df.join(sets, "pid").select(*[F.col(c).alias(c) for c in ("key", "i", "j", "pid", "comp", "s")]) for df in (some, every)]  # aliases, as both are of one table
+    left, right = (df.groupBy("key", "i", "j") for df in side)
+    return left.cogroup(right).applyInPandas(compare, "a long, b long").distinct()
+
+
 def clusters(paragraphs: DataFrame, jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     """Cluster ``(pid, comp)`` of each distinct paragraph ``(pid, p)`` that is near another."""
     signed = materialize(paragraphs.mapInPandas(_sign, "pid long, keys array<bigint>"), "signatures")
-    members = signed.select("pid", F.explode("keys").alias("key"))
-    pairs, large = _meet(members, pair_limit)
-    narrow = large.select("key", "pid").join(signed, "pid").select("pid", F.col("key").alias("k0"), F.explode("keys").alias("k1")).where("k0 <> k1")
-    more, _ = _meet(narrow.select(F.xxhash64(F.least("k0", "k1"), F.greatest("k0", "k1")).alias("key"), "pid").distinct(), pair_limit)
-    pairs = materialize(pairs.union(more).distinct(), "pairs")
+    pairs, large = _meet(signed, pair_limit)
+    pairs = materialize(pairs, "pairs")
     ids = materialize(pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct(), "ids")
     texts = paragraphs.join(_sized(ids, ids.count()), "pid").withColumn("w", F.split("p", " "))
     n = SHINGLE
@@ -107,8 +165,12 @@ def clusters(paragraphs: DataFrame, jaccard: float = JACCARD, pair_limit: int =
     sets = materialize(texts.select("pid", cut.alias("s")), "shingles")
     both = pairs.join(sets.select(F.col("pid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("pid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    edges = both.where(common >= jaccard * (F.size("x") + F.size("y") - common)).select("a", "b")
-    return components(edges, "paragraphs").select(F.col("node").alias("pid"), "comp")
+    edges = materialize(both.where(common >= jaccard * (F.size("x") + F.size("y") - common)).select("a", "b"), "edges")
+    comp = components(edges, "paragraphs").select(F.col("node").alias("pid"), "comp")
+    more = materialize(_unlinked(large, sets, comp, jaccard), "more")
+    if not more.isEmpty():
+        comp = components(edges.union(more), "paragraphs").select(F.col("node").alias("pid"), "comp")
+    return comp
 
 
 def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:

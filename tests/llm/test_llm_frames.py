@@ -206,3 +206,23 @@ def test_media_frame(spark):
     stored = media_ogg.media_column(frame(spark, EDGES)).collect()
     assert all(media_ogg.load(bytes(r.media))[0] == media_ogg.payload_of(r.text)[1] for r in stored)
     assert media_ogg.media_digest(frame(spark, EDGES).limit(0)).count() == 0
+
+
+def test_large_bucket_keeps_its_component(spark):
+    """Copies with one changed word each, with and without their base; the buckets are far over the limit."""
+    texts = []
+    for c in "vw":
+        base = [f"{c}{i}" for i in range(60)]
+        texts += [" ".join(base[:i] + [f"x{n}y{i}"] + base[i + 1 :]) for n in range(3) for i in range(10, 50, 2)]
+    texts.append(" ".join(base))
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    keys = [set(k) for k in paragraphs.band_keys(texts).tolist()]
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if g == b else g for g in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "pid long, p string")
+    got = {r.pid: r.comp for r in paragraphs.clusters(df, pair_limit=8).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
