@@ -15,6 +15,11 @@ tasks. Components are thus those of all colliding pairs.
 
 The first occurrence of a cluster (least document, then position) stays, the others go.
 
+Passages of 50 words or more that repeat inside other lines go as well, in a second step over
+what the first one leaves. Hashes of 25 words are winnowed in windows of 26, so every run of
+50 words holds one; places with equal hashes are extended word by word against the first of
+them (least document, then position), 26 words to each side, and equal runs of 50 or more go.
+
 Defined results: null text stays null and has no paragraphs; paragraphs of fewer than
 ``min_words`` words, and blank lines, are never removed; paragraphs of fewer words than a
 shingle count as one shingle. A row is known by its key and text, so rows that agree in both
@@ -23,6 +28,7 @@ count as one document.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 from zlib import crc32
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 from sparkhece.llm.common import components, materialize
 
 BANDS, ROWS, SHINGLE, JACCARD, MIN_WORDS, PAIR_LIMIT, BLOCK = 16, 4, 5, 0.8, 25, 32, 256
+PASSAGE, GRAM, WINDOW, EDGE = 50, 25, 26, 26  # words; GRAM + WINDOW - 1 = PASSAGE
 MAX_BROADCAST = 1_000_000  # rows of two longs at most; checked by a count before a broadcast
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(256)], dtype=np.uint64)
 
@@ -173,10 +180,126 @@ def clusters(paragraphs: DataFrame, jaccard: float = JACCARD, pair_limit: int =
     return comp
 
 
+def word_hashes(text: str) -> np.ndarray:
+    words = [w.encode("utf-8", "surrogatepass") for w in text.lower().split()]
+    return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the winnowed grams: any run of ``PASSAGE`` words holds one."""
+    n = len(words) - GRAM + 1
+    if len(words) < PASSAGE:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(GRAM):
+        h = (h ^ words[k : k + n]) * _ODD[k]
+        h ^= h >> np.uint64(29)
+    least = h
+    for step in (1, 2, 4, 8, WINDOW - 16):  # minima of 2, 4, 8, 16 and WINDOW hashes
+        least = np.minimum(least[: len(least) - step], least[step:])
+    hit = np.zeros(n, dtype=bool)
+    for k in range(WINDOW):
+        hit[k : k + len(least)] |= h[k : k + len(least)] == least
+    at = np.flatnonzero(hit)
+    return at, h[at].view(np.int64)
+
+
+def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.iloc[at : at + 256]
+            found = [anchors(word_hashes(t)) for t in part["t"]]
+            sizes = [len(f[0]) for f in found]
+            yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), sizes), "m": np.repeat(part["m"].to_numpy(), sizes), "pos": np.concatenate([f[0] for f in found]), "h": np.concatenate([f[1] for f in found])})
+
+
+def _context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words around each anchor, 0 beyond the text and in removed lines; anchors that touch these are left out."""
+    for batch in batches:
+        for k, m, text, removed, places in zip(batch["k"], batch["m"], batch["t"], batch["removed"], batch["places"], strict=True):
+            words = word_hashes(text) + np.uint64(1)
+            if removed is not None and len(removed):
+                gone, at = set(removed), 0
+                for i, line in enumerate(text.split("\n")):
+                    n = len(line.split())
+                    if i in gone:
+                        words[at : at + n] = 0
+                    at += n
+            pad = np.zeros(EDGE, dtype=np.uint64)
+            wide = np.concatenate([pad, words, pad])
+            rows = [(x["pos"], x["h"], wide[x["pos"] : x["pos"] + GRAM + 2 * EDGE]) for x in places]
+            rows = [r for r in rows if r[2][EDGE : EDGE + GRAM].all()]
+            if rows:
+                yield pd.DataFrame({"k": [k] * len(rows), "m": m, "pos": [r[0] for r in rows], "h": [r[1] for r in rows], "c": [r[2].astype("<u8").tobytes() for r in rows]})
+
+
+def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of ``PASSAGE`` words or more around an anchor that equal those around its first place."""
+    for batch in batches:
+        out = []
+        for k, m, pos, c, first in zip(batch["k"], batch["m"], batch["pos"], batch["c"], batch["first"], strict=True):
+            x, y = np.frombuffer(c, dtype="<u8"), np.frombuffer(first, dtype="<u8")
+            differ = np.flatnonzero((x != y) | (x == 0))
+            left, right = differ[differ < EDGE], differ[differ >= EDGE]
+            a, b = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
+            if b - a >= PASSAGE and a <= EDGE and b >= EDGE + GRAM:
+                out.append((k, m, pos - EDGE + int(a), pos - EDGE + int(b)))
+        if out:
+            yield pd.DataFrame(out, columns=["k", "m", "a", "b"])
+
+
+def cut(text: str, removed: list[int], spans: list[tuple[int, int]]) -> str:
+    """``text`` without the removed lines and the words of ``spans``; lines that lose all words go."""
+    gone, lines, at = set(removed), [], 0
+    drop: set[int] = set()
+    for a, b in spans:
+        drop.update(range(a, b))
+    for i, line in enumerate(text.split("\n")):
+        words = list(re.finditer(r"\S+", line))
+        mine = [at + n in drop for n in range(len(words))]
+        at += len(words)
+        if i in gone or (mine and all(mine)):
+            continue
+        if any(mine):
+            kept = [line[w.start() : words[n + 1].start() if n + 1 < len(words) else len(line)] for n, w in enumerate(words) if not mine[n]]
+            line = line[: words[0].start()] + "".join(kept).rstrip()
+        lines.append(line)
+    return "\n".join(lines)
+
+
+def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, removed, spans in batches:
+        yield pd.Series([None if t is None else cut(t, [] if r is None else list(r), [(x["a"], x["b"]) for x in s]) for t, r, s in zip(texts, removed, spans, strict=True)], dtype=object)
+
+
+def passages(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(_row, spans)``: word spans of ``texts (row, t)`` that repeat an earlier passage of ``PASSAGE`` words or more.
+
+    Lines already removed (``gone``) neither go again nor count as an earlier place. A span
+    equals an earlier one word by word (in lower case), so the first of all copies stays.
+    """
+    kinds = dict(texts.select("row.k", "row.m").dtypes)
+    flat = texts.select("row.k", "row.m", "t")
+    found = materialize(flat.mapInPandas(_anchors, f"k {kinds['k']}, m string, pos int, h long"), "anchors")
+    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    held = found.join(_sized(twice, twice.count()), "h").groupBy("k", "m").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
+    held = held.select(F.struct("k", "m").alias("_row"), "places").join(gone, "_row", "left")
+    held = materialize(held, "places")
+    inner = texts.join(_sized(held, held.count(), MAX_BROADCAST // 20), F.col("row").eqNullSafe(F.col("_row")))
+    inner = inner.select("row.k", "row.m", "t", "removed", "places")
+    around = materialize(inner.mapInPandas(_context, f"k {kinds['k']}, m string, pos int, h long, c binary"), "contexts")
+    firsts = around.groupBy("h").agg(F.min(F.struct("k", "m", "pos", "c")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("h", F.struct("f.k", "f.m", "f.pos").alias("at"), F.col("f.c").alias("first")), "firsts")
+    later = around.join(_sized(firsts, firsts.count(), MAX_BROADCAST // 20), "h").where(~F.struct("k", "m", "pos").eqNullSafe(F.col("at")))
+    spans = later.select("k", "m", "pos", "c", "first").mapInPandas(_spans, f"k {kinds['k']}, m string, a int, b int")
+    return spans.groupBy("k", "m").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.struct("k", "m").alias("_row"), "spans")
+
+
 def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Rows of ``docs`` with ``text`` cleaned and a struct ``dedup(n_paragraphs, n_removed, removed)``.
+    """Rows of ``docs`` with ``text`` cleaned and a struct ``dedup(n_paragraphs, n_removed, removed, n_spans)``.
 
-    ``removed`` lists the positions of the removed lines in the input text.
+    ``removed`` lists the positions of the removed lines in the input text; ``n_spans`` counts
+    the repeated passages (overlapping ones each) that were cut out of other lines.
     """
     own = F.struct(F.col(key).alias("k"), F.md5(F.col(text)).alias("m"))
     lines = docs.where(F.col(text).isNotNull()).select(own.alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -191,10 +314,18 @@ def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     first = materialize(first.select("c", "first"), "first")
     gone = where.join(first, "c").where(~F.struct("row", "pos").eqNullSafe(F.col("first")))
     gone = materialize(gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("removed")).select(F.col("row").alias("_row"), "removed"), "removed")
+    texts = docs.where(F.col(text).isNotNull()).select(own.alias("row"), F.col(text).alias("t"))
+    spans = materialize(passages(texts, gone), "spans")
+    same = F.col("_row").eqNullSafe(F.col("_row2"))
+    gone = gone.join(spans.withColumnRenamed("_row", "_row2"), same, "full_outer")
+    gone = gone.select(F.coalesce(F.col("_row").cast(spans.schema["_row"].dataType), "_row2").alias("_row"), "removed", "spans")
+    gone = materialize(gone, "marks")
     out = docs.withColumn("_own", own).join(_sized(gone, gone.count(), MAX_BROADCAST // 5), F.col("_own").eqNullSafe(F.col("_row")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(
         F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")
     )
-    told = F.struct(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_paragraphs"), F.size(removed).alias("n_removed"), removed.alias("removed"))
+    inner = F.pandas_udf(_cut, "string")(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("removed"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")))
+    cleaned = F.when(F.col("spans").isNull(), cleaned).otherwise(inner)
+    told = F.struct(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_paragraphs"), F.size(removed).alias("n_removed"), removed.alias("removed"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"))
     return out.withColumn("dedup", told).withColumn(text, cleaned).select(*docs.columns, "dedup")

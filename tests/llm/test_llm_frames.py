@@ -226,3 +226,16 @@ def test_large_bucket_keeps_its_component(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "pid long, p string")
     got = {r.pid: r.comp for r in paragraphs.clusters(df, pair_limit=8).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_passage_inside_longer_lines(spark):
+    """A passage of over 50 words goes wherever it repeats, whatever surrounds it and however it is broken."""
+    passage = [f"p{i}" for i in range(52)]
+    def around(c, n):
+        return [f"{c}{i}" for i in range(n)]
+    one = " ".join(around("a", 70) + passage + around("b", 70))
+    two = " ".join(around("c", 40) + passage[:20]) + "\n" + " ".join(passage[20:] + around("d", 90))
+    short = " ".join(around("e", 60) + passage[:40] + around("f", 60))
+    df = spark.createDataFrame([(1, one), (2, two), (3, short), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(df).collect()}
+    assert got == {1: one, 2: " ".join(around("c", 40)) + "\n" + " ".join(around("d", 90)), 3: short, 4: None}
