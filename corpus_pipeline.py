@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkhece.llm import decontam, mixing, paragraphs, quality, simhash
+from sparkhece.llm import decontam, mixing, paragraphs, quality
 from sparkhece.llm.common import fold, materialize, table
 from sparkhece.llm.queries import MIX_TARGETS
 
@@ -22,9 +22,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each group the document of least id stays (all without an id stay)."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
+    """Near-dedup by MinHash and exact Jaccard 0.8 on 5-word shingles of whole texts: of each group the document of least id stays (all without an id stay)."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
+    texts = docs.select("doc_id", words.alias("p")).withColumn("pid", F.xxhash64("p"))
+    distinct = materialize(texts.groupBy("pid").agg(F.first("p").alias("p")), "texts")
+    named = paragraphs.clusters(distinct)
+    marked = texts.select("doc_id", "pid").join(named, "pid", "left").select("doc_id", F.coalesce("comp", "pid").alias("comp"))
+    marked = materialize(marked, "marked")
+    least = marked.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = marked.join(least, "comp").where(F.col("doc_id") > F.col("least")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -48,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_quality),
-    ("simhash", drop_near_duplicates),
+    ("near-duplicates", drop_near_duplicates),
     ("paragraphs", drop_repeated_paragraphs),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),

@@ -239,3 +239,15 @@ def test_passage_inside_longer_lines(spark):
     df = spark.createDataFrame([(1, one), (2, two), (3, short), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in paragraphs.dedup_paragraphs(df).collect()}
     assert got == {1: one, 2: " ".join(around("c", 40)) + "\n" + " ".join(around("d", 90)), 3: short, 4: None}
+
+
+def test_pipeline_drops_near_copies(spark):
+    """Near copies by 5-word Jaccard 0.8 go, though their fingerprints differ in more than 2 bits; others stay."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(120)]
+    near = base[:60] + ["new"] + base[61:]
+    far = [x if i % 12 else "other" for i, x in enumerate(base)]
+    assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(near))).bit_count() > 2
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([base, near, far, base])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2]
