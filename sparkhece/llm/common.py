@@ -15,18 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}  # by application: the folder of sessions that name none
+MAX_BROADCAST = 32 << 20  # bytes of rows, as estimated from a count and the width of a row
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (a local test
-    session) a temporary folder is made, once for the application. Tables that were written
-    there may be removed when the job has ended.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset in a local session
+    (driver and executors are one process, as in tests) a temporary folder is made, once for
+    the application; a cluster without the setting is refused. Tables that were written there
+    may be removed when the job has ended.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkhece-")
@@ -42,7 +46,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def sized(df: DataFrame, rows: int, width: int, most: int = MAX_BROADCAST) -> DataFrame:
+    """``df`` for a broadcast if ``rows`` rows of ``width`` bytes are within ``most``, else as it is (the join is shuffled)."""
+    return F.broadcast(df) if rows * width <= most else df
+
+
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named ``_c0, _c1, ...`` and those names by the own ones, so that no own name clashes with a joined one."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def restored(df: DataFrame, names: dict[str, str], **results: Column) -> DataFrame:
+    """The columns of ``names`` under their own names, with ``results`` in their place or behind them."""
+    made = {c: f"_r{i}" for i, c in enumerate(results)}
+    df = df.select(*names.values(), *[x.alias(made[c]) for c, x in results.items()])  # names are given back last, as a select may refer to its own
+    return df.select(*[F.col(made.get(c, n)).alias(c) for c, n in names.items()], *[F.col(n).alias(c) for c, n in made.items() if c not in names])
 
 
 def fold(key: Column, mod: int) -> Column:
@@ -81,20 +112,22 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     nodes = materialize(nodes, name + "-nodes")
     before = None
     while True:
+        old = cur
         # large star: every neighbour above u is linked to the least node around u
         both = cur.select("a", "b").union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(
             both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")),
             name,
         )
-        cur = materialize(
+        large = materialize(
             both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(),
             name,
         )
         # small star: u and its lower neighbours are linked to the least of them
-        least = materialize(cur.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), name)
-        hung = cur.join(least, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        cur = materialize(hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), name)
+        hung = large.join(lower, F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        cur = materialize(hung.union(lower.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), name)
+        discard(old, least, large, lower)
         now = cur.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -1,101 +1,193 @@
 """Substring dedup by paragraph MinHash banding.
 
-A paragraph is a line of the text. Its signature holds the least value of ``bands x rows``
-hash functions over its 5-word shingles (lower-cased words); paragraphs that agree on all
-rows of a band collide. With 16 bands of 4 rows a pair of Jaccard 0.8 collides in some band
-with probability 0.9998. Colliding pairs are verified by the exact Jaccard of their shingle
-sets (64-bit shingle hashes), and clusters are connected components.
-
-Equal paragraphs are one row before banding, so a line that a third of all documents share
-costs one signature. In a bucket of at most ``pair_limit`` distinct paragraphs all pairs are
-verified (linear by the constant limit). In a larger bucket each member is verified against
-the head, the member that meets the most others; members that no verified pair has joined to
-the head's component are then compared with the whole bucket exactly, in blocks dealt over
-tasks. Components are thus those of all colliding pairs.
-
-The first occurrence of a cluster (least document, then position) stays, the others go.
-
-Passages of 50 words or more that repeat inside other lines go as well, in a second step over
-what the first one leaves. Hashes of 25 words are winnowed in windows of 26, so every run of
-50 words holds one; places with equal hashes are extended word by word against the first of
-them (least document, then position), 26 words to each side, and equal runs of 50 or more go.
-
-Defined results: null text stays null and has no paragraphs; paragraphs of fewer than
-``min_words`` words, and blank lines, are never removed; paragraphs of fewer words than a
-shingle count as one shingle. A row is known by its key and text, so rows that agree in both
-count as one document.
+A paragraph is a line of at least ``min_words`` words. Its signature holds the least value of
+``bands x rows`` hash functions over its 5-word shingles (lower-cased words); paragraphs that
+agree on all rows of a band collide. With 16 bands of 4 rows a pair of Jaccard 0.8 collides in
+some band with probability 0.9998. Colliding pairs are verified by the exact Jaccard of their
+shingle sets (64-bit shingle hashes), and clusters are connected components. The first
+occurrence of a cluster (least document, then position) stays, the others go.
+
+Equal paragraphs (by a 128-bit digest) are one row before banding, so a line that a third of
+all documents share costs one signature. In a bucket of at most ``pair_limit`` distinct
+paragraphs all pairs are verified (linear by the constant limit). In a larger bucket each
+member is verified against the head, the member that meets the most others; members that no
+verified pair has joined to the head's component are then compared with the whole bucket
+exactly, in blocks dealt over tasks. Components are thus those of all colliding pairs.
+
+Passages of ``PASSAGE`` words or more that repeat inside other lines go as well, in a second
+step over what the first one leaves. Hashes of 25 words are winnowed in windows of 26, so
+every run of 50 words holds one (an anchor). Around anchors that occur twice all runs of 50
+words are compared by 128-bit digests, and each that occurred before (least document, then
+position) goes. Runs of 50 equal words are all found, whatever surrounds them and however
+they are broken into lines; reworded ones are found only where their lines are alike.
+
+Scale: a text is read three times at most: for signatures and anchors, for the shingle sets of
+colliding paragraphs, and to cut it. Only ids, hashes and positions are shuffled, and texts
+where what is joined to them is too large to broadcast (``common.sized``).
+
+Defined results: null text stays null and has no paragraphs; shorter lines and blank lines
+are removed only as part of a passage; paragraphs of fewer words than a shingle count as one
+shingle. A row is known by its key and text, so rows that agree in both (repeated rows) count
+as one document; a null key is a key of its own and sorts first. Extra columns are returned
+as they are, whatever their names, but for one named ``dedup``, which is replaced. An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
-from itertools import repeat
-from zlib import crc32
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import components, materialize
+from sparkhece.llm.common import components, discard, materialize, plain, restored, sized
 
 BANDS, ROWS, SHINGLE, JACCARD, MIN_WORDS, PAIR_LIMIT, BLOCK = 16, 4, 5, 0.8, 25, 32, 256
-PASSAGE, GRAM, WINDOW, EDGE = 50, 25, 26, 26  # words; GRAM + WINDOW - 1 = PASSAGE
-MAX_BROADCAST = 1_000_000  # rows of two longs at most; checked by a count before a broadcast
+PASSAGE, GRAM, WINDOW = 50, 25, 26  # words; GRAM + WINDOW - 1 = PASSAGE
+GROUP_WORDS = 1 << 16  # words whose signatures are computed at once
 _ODD = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) | 1 for k in range(256)], dtype=np.uint64)
 
 
-def band_keys(paragraphs: list[str], bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
-    """For each paragraph (words joined by one space) its key in every band, as signed longs."""
-    hashes, sizes = [], []
-    for p in paragraphs:
-        words = p.encode("utf-8", "surrogatepass").split(b" ")
-        w = np.fromiter(map(crc32, words, repeat(0)), dtype=np.uint64, count=len(words))
-        if len(w) < shingle:
-            w = np.pad(w, (0, shingle - len(w)))
-        n = len(w) - shingle + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(shingle):
-            h = (h ^ w[k : k + n]) * _ODD[k]
-            h ^= h >> np.uint64(29)
-        hashes.append(h)
-        sizes.append(n)
-    if not hashes:
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _mix(a: np.ndarray, b: np.ndarray, odd: int) -> np.ndarray:
+    h = (a * _ODD[odd] ^ b) * _ODD[odd + 1]
+    return h ^ (h >> np.uint64(29))
+
+
+def gram_hashes(words: np.ndarray, n: int, odd: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``n`` word hashes, from those of 1, 2, 4, ... words; ``odd`` picks another function."""
+    if len(words) < n:
+        return np.zeros(0, dtype=np.uint64)
+    level, out, size, done = words, None, 1, 0
+    while size <= n:
+        if n & size:
+            m = len(words) - done - size + 1
+            out = level if out is None else _mix(out[:m], level[done : done + m], odd + 64)
+            done += size
+        level = _mix(level[:-size], level[size:], odd) if 2 * size <= n else level
+        size *= 2
+    return out
+
+
+def shingle_hashes(units: list[np.ndarray], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of all units, one after the other, and how many each unit has (1 at least)."""
+    padded = [u if len(u) >= n else np.pad(u, (0, n - len(u))) for u in units]
+    sizes = np.array([len(u) - n + 1 for u in padded], dtype=np.int64)
+    if not units:
+        return np.zeros(0, dtype=np.uint64), sizes
+    flat = gram_hashes(np.concatenate(padded), n)
+    keep = np.ones(len(flat) + n - 1, dtype=bool)
+    ends = np.cumsum(sizes + n - 1)
+    for k in range(1, n):
+        keep[ends - k] = False  # those that reach into the next unit
+    return flat[keep[: len(flat)]], sizes
+
+
+def band_keys(units: list[np.ndarray], bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> np.ndarray:
+    """For each unit, given as word hashes, its key in every band, as signed longs."""
+    h, sizes = shingle_hashes(units, shingle)
+    if not len(sizes):
         return np.zeros((0, bands), dtype=np.int64)
-    h = np.concatenate(hashes)
+    h = (h >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    keys = np.zeros((len(paragraphs), bands), dtype=np.uint64)
+    keys = np.zeros((len(units), bands), dtype=np.uint64)
     for b in range(bands):
-        key = np.full(len(paragraphs), b + 1, dtype=np.uint64)
+        key = np.full(len(units), b + 1, dtype=np.uint64)
         for r in range(rows):
-            v = (h ^ _ODD[b * rows + r + 8]) * _ODD[b * rows + r + 80]
-            v ^= v >> np.uint64(32)
+            at = b * rows + r + 8
+            v = (h ^ np.uint32(_ODD[at] >> np.uint64(32))) * (np.uint32(_ODD[at] & np.uint64(0xFFFFFFFF)))
+            v ^= v >> np.uint32(16)
+            v *= np.uint32(0x85EBCA6B)
             key = (key ^ np.minimum.reduceat(v, starts)) * _ODD[3]
             key ^= key >> np.uint64(31)
         keys[:, b] = key
     return keys.view(np.int64)
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), 512):
-            part = batch.iloc[at : at + 512]
-            yield pd.DataFrame({"pid": part["pid"].to_numpy(), "keys": list(band_keys(part["p"].tolist()))})
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word positions and hashes of the winnowed grams: any run of ``PASSAGE`` words holds one."""
+    if len(words) < PASSAGE:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h = gram_hashes(words, GRAM)
+    least = h
+    for step in (1, 2, 4, 8, WINDOW - 16):  # minima of 2, 4, 8, 16 and WINDOW hashes
+        least = np.minimum(least[: len(least) - step], least[step:])
+    hit = np.zeros(len(h), dtype=bool)
+    for k in range(WINDOW):
+        hit[k : k + len(least)] |= h[k : k + len(least)] == least
+    at = np.flatnonzero(hit)
+    return at, h[at].view(np.int64)
 
 
-def _sized(df: DataFrame, rows: int, most: int = MAX_BROADCAST) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
+def paragraph_words(line: str) -> list[str]:
+    return line.lower().split()
+
+
+def digest(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).encode("utf-8", "surrogatepass")).digest()
+
+
+def _lists(sizes: list[int], values: np.ndarray | list, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def _read(bands: int, min_words: int, inner: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of every text its paragraphs (position, digest, band keys) and, if ``inner``, its anchors with the lines they lie in."""
+
+    def group(rows: list[tuple]) -> pa.RecordBatch:
+        keys = band_keys([u for r in rows for u in r[4]], bands).reshape(-1)
+        n, m = [len(r[2]) for r in rows], [len(r[5]) for r in rows]
+        flat = lambda i: np.concatenate([r[i] for r in rows])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([r[0] for r in rows]), pa.concat_arrays([r[1] for r in rows]),
+                _lists(n, [p for r in rows for p in r[2]], pa.int32()), _lists(n, [d for r in rows for d in r[3]], pa.binary()), _lists([x * bands for x in n], keys, pa.int64()),
+                _lists(m, flat(5), pa.int32()), _lists(m, flat(6), pa.int64()), _lists(m, flat(7), pa.int32()), _lists(m, flat(8), pa.int32()),
+            ],
+            names=["k", "x", "at", "pid", "keys", "pos", "h", "first", "last"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            texts, k, x = batch.column(batch.schema.get_field_index("t")), batch.column(batch.schema.get_field_index("k")), batch.column(batch.schema.get_field_index("x"))
+            for i, text in enumerate(texts):
+                lines = [paragraph_words(line) for line in text.as_py().split("\n")]
+                sizes = np.array([len(w) for w in lines], dtype=np.int64)
+                words = word_hashes([w for line in lines for w in line])
+                at = np.flatnonzero(sizes >= min_words)
+                ends = np.cumsum(sizes)
+                units = [words[ends[j] - sizes[j] : ends[j]] for j in at]
+                pos, h = anchors(words) if inner else (np.zeros(0, dtype=np.int64),) * 2
+                rows.append((k.slice(i, 1), x.slice(i, 1), at.tolist(), [digest(lines[j]) for j in at], units, pos, h, np.searchsorted(ends, pos, "right"), np.searchsorted(ends, pos + GRAM - 1, "right")))
+                held += len(words)
+                if held >= GROUP_WORDS:
+                    yield group(rows)
+                    rows, held = [], 0
+            if rows:
+                yield group(rows)
 
+    return run
 
-def _meet(signed: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
+
+def _meet(units: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
     """Pairs ``(a, b)`` to verify, and the members ``(key, pid, head)`` of large buckets.
 
     The head of a large bucket is the member whose buckets hold the most paragraphs in all.
     """
-    members = signed.select("pid", F.explode("keys").alias("key"))
+    members = units.select("pid", F.explode("keys").alias("key"))
     groups = materialize(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    held = materialize(members.join(_sized(groups, groups.count()), "key"), "members")
+    held = materialize(members.join(sized(groups, groups.count(), 16), "key"), "members")
     small = held.where(F.col("n") <= pair_limit)
     pairs = small.select("key", F.col("pid").alias("a")).join(small.select("key", F.col("pid").alias("b")), "key").where("a < b").select("a", "b")
     large = held.where(F.col("n") > pair_limit).select("key", "pid")
@@ -103,9 +195,11 @@ def _meet(signed: DataFrame, pair_limit: int) -> tuple[DataFrame, DataFrame]:
     large = materialize(large.join(met, "pid"), "large")
     heads = large.groupBy("key").agg(F.max(F.struct("met", "pid"))["pid"].alias("head"))
     heads = materialize(heads, "heads")
-    large = large.select("key", "pid").join(_sized(heads, heads.count()), "key")
+    large = materialize(large.select("key", "pid").join(sized(heads, heads.count(), 24), "key"), "large-heads")
     stars = large.where("pid <> head").select(F.least("head", "pid").alias("a"), F.greatest("head", "pid").alias("b"))
-    return pairs.union(stars).distinct(), large
+    pairs = materialize(pairs.union(stars).distinct(), "pairs")
+    discard(groups, held, heads)
+    return pairs, large
 
 
 def near_pairs(x: list[np.ndarray], y: list[np.ndarray], jaccard: float) -> tuple[np.ndarray, np.ndarray]:
@@ -142,190 +236,202 @@ def _unlinked(large: DataFrame, sets: DataFrame, comp: DataFrame, jaccard: float
     own = materialize(own.select("key", "pid", "comp", (F.col("comp") != F.col("lead")).alias("open")), "unlinked")
     counts = own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("o")).where("o > 0")
     counts = materialize(counts.select("key", F.ceil(F.col("n") / block).alias("nb"), F.ceil(F.col("o") / block).alias("ob")), "blocks")
-    own = own.join(_sized(counts, counts.count()), "key")
+    n = counts.count()
+    own = own.join(sized(counts, n, 24), "key")
     at = F.xxhash64("pid", "key")
     every = own.select("key", "pid", "comp", F.pmod(at, F.col("nb")).alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ob") - 1)).alias("i"))
     some = own.where("open").select("key", "pid", "comp", F.pmod(at, F.col("ob")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
+    kind = dict(sets.dtypes)["pid"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+            return pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object)})
         i, j = near_pairs(left["s"].tolist(), right["s"].tolist(), jaccard)
-        a, b = left["pid"].to_numpy()[i], right["pid"].to_numpy()[j]
-        far = left["comp"].to_numpy()[i] != right["comp"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b)[far], "b": np.maximum(a, b)[far]})
+        a, b, ca, cb = (left["pid"].tolist(), right["pid"].tolist(), left["comp"].tolist(), right["comp"].tolist())
+        found = [(min(a[x], b[y]), max(a[x], b[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if ca[x] != cb[y]]
+        return pd.DataFrame(found, columns=["a", "b"])
 
+    if not n:
+        return sets.select(F.col("pid").alias("a"), F.col("pid").alias("b")).limit(0)
     side = [df.join(sets, "pid").select(*[F.col(c).alias(c) for c in ("key", "i", "j", "pid", "comp", "s")]) for df in (some, every)]  # aliases, as both are of one table
     left, right = (df.groupBy("key", "i", "j") for df in side)
-    return left.cogroup(right).applyInPandas(compare, "a long, b long").distinct()
+    return left.cogroup(right).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
 
+def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT, links: DataFrame | None = None) -> DataFrame:
+    """Cluster ``(pid, comp)`` of each distinct unit ``(pid, keys)`` that is near another.
 
-def clusters(paragraphs: DataFrame, jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Cluster ``(pid, comp)`` of each distinct paragraph ``(pid, p)`` that is near another."""
-    signed = materialize(paragraphs.mapInPandas(_sign, "pid long, keys array<bigint>"), "signatures")
-    pairs, large = _meet(signed, pair_limit)
-    pairs = materialize(pairs, "pairs")
+    ``sets_of`` gives the shingle sets ``(pid, s)`` of the ids ``(pid)`` asked for. ``links``
+    are further pairs ``(a, b)`` to verify, found in another way.
+    """
+    pairs, large = _meet(units, pair_limit)
+    if links is not None:
+        pairs = materialize(pairs.union(links.select("a", "b")).distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("pid")).union(pairs.select("b")).distinct(), "ids")
-    texts = paragraphs.join(_sized(ids, ids.count()), "pid").withColumn("w", F.split("p", " "))
-    n = SHINGLE
-    cut = F.expr(f"array_distinct(CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> xxhash64({', '.join(f'w[i + {k}]' for k in range(n))})) ELSE array(xxhash64(p)) END)")
-    sets = materialize(texts.select("pid", cut.alias("s")), "shingles")
+    sets = materialize(sets_of(ids), "shingles")
     both = pairs.join(sets.select(F.col("pid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("pid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    edges = materialize(both.where(common >= jaccard * (F.size("x") + F.size("y") - common)).select("a", "b"), "edges")
+    edges = materialize(both.where(common >= jaccard * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"), "edges")
     comp = components(edges, "paragraphs").select(F.col("node").alias("pid"), "comp")
-    more = materialize(_unlinked(large, sets, comp, jaccard), "more")
-    if not more.isEmpty():
-        comp = components(edges.union(more), "paragraphs").select(F.col("node").alias("pid"), "comp")
+    if not large.isEmpty():
+        more = materialize(_unlinked(large, sets, comp, jaccard), "more")
+        if not more.isEmpty():
+            comp = components(edges.union(more), "paragraphs").select(F.col("node").alias("pid"), "comp")
     return comp
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = [w.encode("utf-8", "surrogatepass") for w in text.lower().split()]
-    return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
-
-
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word positions and hashes of the winnowed grams: any run of ``PASSAGE`` words holds one."""
-    n = len(words) - GRAM + 1
-    if len(words) < PASSAGE:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(GRAM):
-        h = (h ^ words[k : k + n]) * _ODD[k]
-        h ^= h >> np.uint64(29)
-    least = h
-    for step in (1, 2, 4, 8, WINDOW - 16):  # minima of 2, 4, 8, 16 and WINDOW hashes
-        least = np.minimum(least[: len(least) - step], least[step:])
-    hit = np.zeros(n, dtype=bool)
-    for k in range(WINDOW):
-        hit[k : k + len(least)] |= h[k : k + len(least)] == least
-    at = np.flatnonzero(hit)
-    return at, h[at].view(np.int64)
-
-
-def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The shingle sets of the paragraphs asked for (``want``: position and id)."""
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            part = batch.iloc[at : at + 256]
-            found = [anchors(word_hashes(t)) for t in part["t"]]
-            sizes = [len(f[0]) for f in found]
-            yield pd.DataFrame({"k": np.repeat(part["k"].to_numpy(), sizes), "m": np.repeat(part["m"].to_numpy(), sizes), "pos": np.concatenate([f[0] for f in found]), "h": np.concatenate([f[1] for f in found])})
+        for text, want in zip(batch["t"], batch["want"], strict=True):
+            lines = text.split("\n")
+            units = [word_hashes(paragraph_words(lines[w["at"]])) for w in want]
+            yield pd.DataFrame({"pid": [w["pid"] for w in want], "s": [np.unique(shingle_hashes([u])[0]).view(np.int64) for u in units]})
 
 
-def _context(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The words around each anchor, 0 beyond the text and in removed lines; anchors that touch these are left out."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Digests of all runs of ``PASSAGE`` words that hold one of the anchors ``places`` and touch no removed line."""
     for batch in batches:
-        for k, m, text, removed, places in zip(batch["k"], batch["m"], batch["t"], batch["removed"], batch["places"], strict=True):
-            words = word_hashes(text) + np.uint64(1)
-            if removed is not None and len(removed):
-                gone, at = set(removed), 0
-                for i, line in enumerate(text.split("\n")):
-                    n = len(line.split())
-                    if i in gone:
-                        words[at : at + n] = 0
-                    at += n
-            pad = np.zeros(EDGE, dtype=np.uint64)
-            wide = np.concatenate([pad, words, pad])
-            rows = [(x["pos"], x["h"], wide[x["pos"] : x["pos"] + GRAM + 2 * EDGE]) for x in places]
-            rows = [r for r in rows if r[2][EDGE : EDGE + GRAM].all()]
-            if rows:
-                yield pd.DataFrame({"k": [k] * len(rows), "m": m, "pos": [r[0] for r in rows], "h": [r[1] for r in rows], "c": [r[2].astype("<u8").tobytes() for r in rows]})
-
-
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of ``PASSAGE`` words or more around an anchor that equal those around its first place."""
-    for batch in batches:
-        out = []
-        for k, m, pos, c, first in zip(batch["k"], batch["m"], batch["pos"], batch["c"], batch["first"], strict=True):
-            x, y = np.frombuffer(c, dtype="<u8"), np.frombuffer(first, dtype="<u8")
-            differ = np.flatnonzero((x != y) | (x == 0))
-            left, right = differ[differ < EDGE], differ[differ >= EDGE]
-            a, b = (left[-1] + 1 if len(left) else 0), (right[0] if len(right) else len(x))
-            if b - a >= PASSAGE and a <= EDGE and b >= EDGE + GRAM:
-                out.append((k, m, pos - EDGE + int(a), pos - EDGE + int(b)))
-        if out:
-            yield pd.DataFrame(out, columns=["k", "m", "a", "b"])
-
-
-def cut(text: str, removed: list[int], spans: list[tuple[int, int]]) -> str:
-    """``text`` without the removed lines and the words of ``spans``; lines that lose all words go."""
+        for k, x, text, removed, places in zip(batch["k"], batch["x"], batch["t"], batch["removed"], batch["places"], strict=True):
+            lines = [paragraph_words(line) for line in text.split("\n")]
+            words = word_hashes([w for line in lines for w in line])
+            ends = np.cumsum([len(w) for w in lines])
+            starts = np.zeros(len(words) + 1, dtype=bool)
+            for p in places.tolist():
+                starts[max(0, p + GRAM - PASSAGE) : p + 1] = True
+            for i in [] if removed is None else removed.tolist():
+                starts[max(0, ends[i] - len(lines[i]) - PASSAGE + 1) : ends[i]] = False
+            at = np.flatnonzero(starts[: max(0, len(words) - PASSAGE + 1)])
+            if len(at):
+                hi, lo = gram_hashes(words, PASSAGE)[at].view(np.int64), gram_hashes(words, PASSAGE, 100)[at].view(np.int64)
+                yield pd.DataFrame({"k": [k] * len(at), "x": x, "pos": at.astype(np.int32), "hi": hi, "lo": lo})
+
+
+def cut(text: str, removed: list[int], spans: np.ndarray) -> tuple[str, int]:
+    """``text`` without the removed lines and the words of ``spans (start, end)``, and the words removed; lines that lose all words go."""
     gone, lines, at = set(removed), [], 0
-    drop: set[int] = set()
-    for a, b in spans:
-        drop.update(range(a, b))
+    drop = np.zeros(1, dtype=bool)
+    if len(spans):
+        drop = np.zeros(int(spans[:, 1].max()) + 1, dtype=bool)
+        for a, b in spans.tolist():
+            drop[a:b] = True
+    n = 0
     for i, line in enumerate(text.split("\n")):
-        words = list(re.finditer(r"\S+", line))
-        mine = [at + n in drop for n in range(len(words))]
-        at += len(words)
-        if i in gone or (mine and all(mine)):
+        size = len(line.split())
+        mine = drop[at : at + size]
+        at += size
+        if i in gone:
+            n += size
             continue
-        if any(mine):
-            kept = [line[w.start() : words[n + 1].start() if n + 1 < len(words) else len(line)] for n, w in enumerate(words) if not mine[n]]
+        if mine.any():
+            n += int(mine.sum())
+            mine = np.pad(mine, (0, size - len(mine)))
+            if mine.all():
+                continue
+            words = list(re.finditer(r"\S+", line))
+            kept = [line[w.start() : words[j + 1].start() if j + 1 < size else len(line)] for j, w in enumerate(words) if not mine[j]]
             line = line[: words[0].start()] + "".join(kept).rstrip()
         lines.append(line)
-    return "\n".join(lines)
+    return "\n".join(lines), n
+
+
+def merged(starts: np.ndarray) -> np.ndarray:
+    """Maximal ``(start, end)`` runs of words that windows of ``PASSAGE`` words at ``starts`` cover."""
+    if not len(starts):
+        return np.zeros((0, 2), dtype=np.int64)
+    starts = np.sort(starts).astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], np.diff(starts) > PASSAGE]))
+    return np.stack([starts[new], starts[np.concatenate([new[1:], [len(starts)]]) - 1] + PASSAGE], axis=1)
 
 
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, removed, spans in batches:
-        yield pd.Series([None if t is None else cut(t, [] if r is None else list(r), [(x["a"], x["b"]) for x in s]) for t, r, s in zip(texts, removed, spans, strict=True)], dtype=object)
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for texts, removed, starts in batches:
+        rows = []
+        for t, r, s in zip(texts, removed, starts, strict=True):
+            if t is None:
+                rows.append((None, 0, 0))
+                continue
+            spans = merged(np.zeros(0) if s is None else s)
+            kept, n = cut(t, [] if r is None else r.tolist(), spans)
+            rows.append((kept, n, len(spans)))
+        yield pd.DataFrame(rows, columns=["text", "n_removed", "n_spans"])
 
 
-def passages(texts: DataFrame, gone: DataFrame) -> DataFrame:
-    """``(_row, spans)``: word spans of ``texts (row, t)`` that repeat an earlier passage of ``PASSAGE`` words or more.
+def passages(texts: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(k2, x2, starts)``: where runs of ``PASSAGE`` words in ``texts (k, x, t)`` start that occurred before.
 
-    Lines already removed (``gone``) neither go again nor count as an earlier place. A span
-    equals an earlier one word by word (in lower case), so the first of all copies stays.
+    Lines already removed (``gone``) neither go again nor count as an earlier place. The first
+    of all places stays.
     """
-    kinds = dict(texts.select("row.k", "row.m").dtypes)
-    flat = texts.select("row.k", "row.m", "t")
-    found = materialize(flat.mapInPandas(_anchors, f"k {kinds['k']}, m string, pos int, h long"), "anchors")
-    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    held = found.join(_sized(twice, twice.count()), "h").groupBy("k", "m").agg(F.collect_list(F.struct("pos", "h")).alias("places"))
-    held = held.select(F.struct("k", "m").alias("_row"), "places").join(gone, "_row", "left")
+    n_gone = gone.count()
+    kind = dict(texts.dtypes)["k"]
+    each = found.select("k", "x", F.explode(F.arrays_zip("pos", "h", "first", "last")).alias("a")).select("k", "x", "a.*")
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("x") == F.col("x2"))
+    each = each.join(sized(gone, n_gone, 64), same, "left").where("removed IS NULL OR NOT exists(removed, i -> i BETWEEN first AND last)")
+    each = each.select("k", "x", "pos", "h")
+    twice = materialize(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
+    held = each.join(sized(twice, twice.count(), 8), "h").groupBy("k", "x").agg(F.collect_list("pos").alias("places"))
+    held = held.join(sized(gone, n_gone, 64), same, "left").select(F.col("k").alias("k2"), F.col("x").alias("x2"), "places", "removed")
     held = materialize(held, "places")
-    inner = texts.join(_sized(held, held.count(), MAX_BROADCAST // 20), F.col("row").eqNullSafe(F.col("_row")))
-    inner = inner.select("row.k", "row.m", "t", "removed", "places")
-    around = materialize(inner.mapInPandas(_context, f"k {kinds['k']}, m string, pos int, h long, c binary"), "contexts")
-    firsts = around.groupBy("h").agg(F.min(F.struct("k", "m", "pos", "c")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = materialize(firsts.select("h", F.struct("f.k", "f.m", "f.pos").alias("at"), F.col("f.c").alias("first")), "firsts")
-    later = around.join(_sized(firsts, firsts.count(), MAX_BROADCAST // 20), "h").where(~F.struct("k", "m", "pos").eqNullSafe(F.col("at")))
-    spans = later.select("k", "m", "pos", "c", "first").mapInPandas(_spans, f"k {kinds['k']}, m string, a int, b int")
-    return spans.groupBy("k", "m").agg(F.collect_set(F.struct("a", "b")).alias("spans")).select(F.struct("k", "m").alias("_row"), "spans")
+    inner = texts.join(sized(held, held.count(), 128), same).select("k", "x", "t", "removed", "places")
+    runs = materialize(inner.mapInPandas(_runs, f"k {kind}, x long, pos int, hi long, lo long"), "runs")
+    firsts = runs.groupBy("hi", "lo").agg(F.min(F.struct("k", "x", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("hi", "lo", "f"), "firsts")
+    later = runs.join(sized(firsts, firsts.count(), 48), ["hi", "lo"]).where(~F.struct("k", "x", "pos").eqNullSafe(F.col("f")))
+    later = later.groupBy("k", "x").agg(F.collect_set("pos").alias("starts")).select(F.col("k").alias("k2"), F.col("x").alias("x2"), "starts")
+    later = materialize(later, "starts")
+    discard(twice, held, runs, firsts)
+    return later
 
 
 def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, jaccard: float = JACCARD, pair_limit: int = PAIR_LIMIT) -> DataFrame:
-    """Rows of ``docs`` with ``text`` cleaned and a struct ``dedup(n_paragraphs, n_removed, removed, n_spans)``.
+    """Rows of ``docs`` with ``text`` cleaned and a struct ``dedup(n_removed, n_lines, n_spans, lines)``.
 
-    ``removed`` lists the positions of the removed lines in the input text; ``n_spans`` counts
-    the repeated passages (overlapping ones each) that were cut out of other lines.
+    ``n_removed`` counts the words removed, ``lines`` lists the positions of whole lines that
+    went as paragraphs (``n_lines`` of them), ``n_spans`` counts the passages cut elsewhere.
     """
-    own = F.struct(F.col(key).alias("k"), F.md5(F.col(text)).alias("m"))
-    lines = docs.where(F.col(text).isNotNull()).select(own.alias("row"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("p", F.trim(F.regexp_replace(F.lower("line"), r"\s+", " ")))
-    lines = lines.where(F.size(F.split("p", " ")) >= min_words).withColumn("pid", F.xxhash64("p"))
-    where = materialize(lines.select("row", "pos", "pid"), "lines")
-    paragraphs = materialize(lines.groupBy("pid").agg(F.first("p").alias("p")), "paragraphs")
-    named = clusters(paragraphs, jaccard, pair_limit)
-    where = where.join(named, "pid", "left").select("row", "pos", F.coalesce("comp", "pid").alias("c"))
-    where = materialize(where, "occurrences")
-    first = where.groupBy("c").agg(F.min(F.struct("row", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialize(first.select("c", "first"), "first")
-    gone = where.join(first, "c").where(~F.struct("row", "pos").eqNullSafe(F.col("first")))
-    gone = materialize(gone.groupBy("row").agg(F.sort_array(F.collect_set("pos")).alias("removed")).select(F.col("row").alias("_row"), "removed"), "removed")
-    texts = docs.where(F.col(text).isNotNull()).select(own.alias("row"), F.col(text).alias("t"))
-    spans = materialize(passages(texts, gone), "spans")
-    same = F.col("_row").eqNullSafe(F.col("_row2"))
-    gone = gone.join(spans.withColumnRenamed("_row", "_row2"), same, "full_outer")
-    gone = gone.select(F.coalesce(F.col("_row").cast(spans.schema["_row"].dataType), "_row2").alias("_row"), "removed", "spans")
-    gone = materialize(gone, "marks")
-    out = docs.withColumn("_own", own).join(_sized(gone, gone.count(), MAX_BROADCAST // 5), F.col("_own").eqNullSafe(F.col("_row")), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    cleaned = F.when(F.col("removed").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(removed, i)), "\n")
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("x"), F.col(text).alias("t"))
+    kind = dict(texts.dtypes)["k"]
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("x") == F.col("x2"))
+    schema = f"k {kind}, x long, at array<int>, pid array<binary>, keys array<bigint>, pos array<int>, h array<bigint>, first array<int>, last array<int>"
+    found = materialize(texts.mapInArrow(_read(BANDS, min_words, True), schema), "signatures")
+
+    # distinct paragraphs, each with its keys and first place
+    lines = found.select("k", "x", F.posexplode(F.arrays_zip("at", "pid")).alias("i", "l"), "keys")
+    lines = lines.select(F.struct("k", "x", "l.at").alias("place"), F.col("l.pid").alias("pid"), F.slice("keys", F.col("i") * BANDS + 1, F.lit(BANDS)).alias("keys"))
+    units = lines.groupBy("pid").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+    units = materialize(units, "paragraphs")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = units.select("pid", "place").join(sized(ids, ids.count(), 24), "pid")
+        asked = asked.groupBy(F.col("place.k").alias("k2"), F.col("place.x").alias("x2")).agg(F.collect_list(F.struct("place.at", "pid")).alias("want"))
+        asked = materialize(asked, "asked")
+        once = texts.join(sized(asked, asked.count(), 128), same).dropDuplicates(["k", "x"]).select("t", "want")
+        return once.mapInPandas(_sets, "pid binary, s array<bigint>")
+
+    named = clusters(units.select("pid", "keys"), sets_of, jaccard, pair_limit)
+    named = units.select("pid", "place", "n").join(named, "pid", "left")
+    named = materialize(named.where("n > 1 OR comp IS NOT NULL").select("pid", "place", F.coalesce("comp", "pid").alias("comp")), "repeated")
+    lead = named.groupBy("comp").agg(F.min("place").alias("lead"))
+    named = materialize(named.join(lead, "comp").select("pid", "lead"), "leads")
+    gone = lines.select("pid", "place").join(sized(named, named.count(), 64), "pid").where(~F.col("place").eqNullSafe(F.col("lead")))
+    gone = gone.groupBy(F.col("place.k").alias("k2"), F.col("place.x").alias("x2")).agg(F.sort_array(F.collect_set("place.at")).alias("removed"))
+    gone = materialize(gone, "removed")
+    spans = passages(texts, found.select("k", "x", "pos", "h", "first", "last"), gone)
+
+    marks = gone.select("k2", "x2", "removed").join(spans.select(F.col("k2").alias("k3"), F.col("x2").alias("x3"), "starts"), F.col("k2").eqNullSafe(F.col("k3")) & (F.col("x2") == F.col("x3")), "full_outer")
+    # x2 is null where only spans are; keys may be null themselves
+    either = lambda a, b: F.when(F.col("x2").isNull(), F.col(b)).otherwise(F.col(a))
+    marks = materialize(marks.select(F.struct(either("k2", "k3").alias("k"), either("x2", "x3").alias("x"), "removed", "starts").alias("_mark")), "marks")
+    out, names = plain(docs)
+    own, body, mark = F.col(names[key]), F.col(names[text]), F.col("_mark")
+    out = out.join(sized(marks, marks.count(), 256), own.eqNullSafe(mark["k"]) & (F.xxhash64(body) == mark["x"]), "left")
+    done = F.pandas_udf(_cut, "text string, n_removed long, n_spans int")(F.when(mark.isNotNull(), body), mark["removed"], mark["starts"])
+    out = out.withColumn("_cut", done)
+    told = F.struct(
+        F.col("_cut.n_removed").alias("n_removed"),
+        F.coalesce(F.size(mark["removed"]), F.lit(0)).alias("n_lines"),
+        F.col("_cut.n_spans").alias("n_spans"),
+        F.coalesce(mark["removed"], F.array().cast("array<int>")).alias("lines"),
     )
-    inner = F.pandas_udf(_cut, "string")(F.when(F.col("spans").isNotNull(), F.col(text)), F.col("removed"), F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>")))
-    cleaned = F.when(F.col("spans").isNull(), cleaned).otherwise(inner)
-    told = F.struct(F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_paragraphs"), F.size(removed).alias("n_removed"), removed.alias("removed"), F.coalesce(F.size("spans"), F.lit(0)).alias("n_spans"))
-    return out.withColumn("dedup", told).withColumn(text, cleaned).select(*docs.columns, "dedup")
+    return restored(out, names, **{text: F.when(mark.isNotNull(), F.col("_cut.text")).otherwise(body), "dedup": told})
