@@ -16,8 +16,15 @@ limit). Larger groups use a second level that needs no pairs: members also leave
 the other segment (2 of 32 for equal segments, 1 of 32 for variants), and all that agree then
 differ in 2 bits at most, so linking each to the least of them keeps every component whole.
 
+``keep_first`` drops near copies (5-word shingles, Jaccard 0.8 or more) of whole texts. At
+Jaccard 0.8 two 64-bit fingerprints are expected to differ in 10 bits, far beyond what deletion
+variants reach, so the pairs that the fingerprints link are completed by those that meet in a
+MinHash band; all of them are verified by exact Jaccard before anything is dropped.
+
 Defined results: null and wordless text has fingerprint 0 and is linked like any other;
-fewer than 3 words are one shingle; a component's id is its least non-null doc_id.
+fewer words than a shingle are one shingle; a component's id is its least non-null doc_id.
+Repeated rows each get the row of their text. Only the key and the text are read, so extra
+columns may have any name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +37,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import components, materialize
+from sparkhece.llm import paragraphs
+from sparkhece.llm.common import components, discard, materialize, sized
 
 SHINGLE, SEED, PAIR_LIMIT = 3, 42, 48
 _LOWER = bytes(c + 32 * (65 <= c <= 90) for c in range(256))
@@ -105,7 +113,9 @@ def similar(fps: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     out = out.select("fp", "key", "m", F.expr("o & ~m").alias("rest"))
     heads = materialize(out.groupBy("key", "m", "rest").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "heads")
     stars = out.join(heads, ["key", "m", "rest"]).where("a <> fp").select("a", F.col("fp").alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(stars).distinct()
+    edges = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(stars).distinct(), "similar")
+    discard(live, held, heads)
+    return edges
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", pair_limit: int = PAIR_LIMIT) -> DataFrame:
@@ -118,3 +128,87 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", pair
     ids = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     ids = materialize(named.join(ids, "comp").select("fp", "component_id"), "ids")
     return marked.join(ids, "fp", "left").select(key, "fp", "component_id")
+
+
+def _signatures(shingle: int):
+    """Of whole texts: digest of the words, fingerprint (majority bits of shingle hashes) and MinHash band keys."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            out, units = [], []
+            for t in s:
+                words = paragraphs.paragraph_words(t)
+                units.append(paragraphs.word_hashes(words))
+                h = paragraphs.shingle_hashes(units[-1:], shingle)[0]
+                bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                over = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
+                fp = int(np.packbits(over, bitorder="little").view("<i8")[0]) if words else 0
+                out.append((paragraphs.digest(words), fp))
+            sizes, at, keys = np.cumsum([len(u) for u in units]) // paragraphs.GROUP_WORDS, 0, []
+            for n in np.unique(sizes, return_counts=True)[1].tolist():
+                keys += list(paragraphs.band_keys(units[at : at + n], shingle=shingle))
+                at += n
+            yield pd.DataFrame({"pid": [x[0] for x in out], "fp": [x[1] for x in out], "keys": keys})
+
+    return run
+
+
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pid, t in zip(batch["pid"], batch["t"], strict=True):
+                h = paragraphs.shingle_hashes([paragraphs.word_hashes(paragraphs.paragraph_words(t))], shingle)[0]
+                yield pd.DataFrame({"pid": [pid], "s": [np.unique(h).view(np.int64)]})
+
+    return run
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, jaccard: float = 0.8, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """``docs`` without near copies: of each group the row of least key (then text hash) stays.
+
+    A group is a component of pairs of texts whose shingle sets (lower-cased words) have at
+    least the given Jaccard. Rows that agree in key and text are copies too: one stays. Null
+    text counts as empty, and texts without words are equal; a null key sorts first.
+    """
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(body).alias("x"), body.alias("t"))
+    sign = F.pandas_udf(_signatures(shingle), "pid binary, fp long, keys array<bigint>")
+    marked = materialize(rows.select("k", "x", sign("t").alias("s")).select("k", "x", "s.*"), "signatures")
+    units = marked.groupBy("pid").agg(F.min(F.struct("k", "x")).alias("place"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    units = materialize(units, "texts")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        asked = materialize(units.select("pid", "place").join(sized(ids, ids.count(), 24), "pid").select("pid", F.col("place.k").alias("k2"), F.col("place.x").alias("x2")), "asked")
+        same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("x") == F.col("x2"))
+        once = rows.join(sized(asked, asked.count(), 64), same).dropDuplicates(["pid"]).select("pid", "t")
+        return once.mapInPandas(_shingle_sets(shingle), "pid binary, s array<bigint>")
+
+    # what the fingerprints link: the texts of one fingerprint, and the first texts of similar ones
+    heads = materialize(units.groupBy("fp").agg(F.min("pid").alias("head"), F.count(F.lit(1)).alias("n")), "fingerprints")
+    near = similar(heads.select("fp"), pair_limit)
+    n_heads = heads.count()
+    links = near.join(sized(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), n_heads, 24), "a")
+    links = links.join(sized(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), n_heads, 24), "b")
+    links = links.select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    held = heads.where("n > 1").select("fp", "head")
+    links = links.union(units.select("fp", "pid").join(held, "fp").where("pid <> head").select(F.col("head").alias("a"), F.col("pid").alias("b")))
+    comp = paragraphs.clusters(units.select("pid", "keys"), sets_of, jaccard, paragraphs.PAIR_LIMIT, links)
+
+    named = units.select("pid", "place", "n").join(comp, "pid", "left").where("n > 1 OR comp IS NOT NULL")
+    named = materialize(named.select("pid", "place", F.coalesce("comp", "pid").alias("comp")), "named")
+    named = materialize(named.join(named.groupBy("comp").agg(F.min("place").alias("lead")), "comp").select("pid", "lead"), "leads")
+    n_named = named.count()
+    held = marked.select("k", "x", "pid").join(sized(named, n_named, 48), "pid")
+    places = held.groupBy("k", "x").agg(F.first("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
+    places = places.select("k", "x", "n", F.struct("k", "x").eqNullSafe(F.col("lead")).alias("first")).where("n > 1 OR NOT first")
+    places = materialize(places.select(F.struct("k", "x", "n", "first").alias("_copy")), "copies")
+
+    same = F.col(f"`{key}`").eqNullSafe(F.col("_copy.k")) & (F.xxhash64(body) == F.col("_copy.x"))
+    n_places = places.count()
+    kept = docs.join(sized(places, n_places, 64), same, "left_anti")
+    leads = places.where("_copy.first")
+    n_leads = leads.count()
+    if n_leads:  # rows that agree in key and text: one of them
+        again = docs.join(sized(leads, n_leads, 64), same).groupBy("_copy.k", "_copy.x").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+        kept = kept.union(again.select("_row.*"))
+    return kept
