@@ -23,8 +23,12 @@ Texts are written once, bucketed by their digest, and no later join shuffles the
 than ``hot`` suffixes (a line that a third of all documents share) never come together:
 their strings are counted one by one with partial aggregation instead.
 
+Partitions: ``part_bytes`` of suffixes, and ``TEXT_BYTES`` of texts or as many as the session's
+shuffle partitions, whichever is more. Tables are dropped as soon as nothing reads them.
+
 Defined results: null is the empty text; texts shorter than ``length`` bytes stay whole;
-overlapping occurrences count; repeated rows cover each other.
+overlapping occurrences count; repeated rows cover each other. Extra columns may have any
+name, but for the one named ``dedup``, which is replaced; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -39,10 +43,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import materialize, shared_dir
+from sparkhece.llm.common import discard, materialize, plain, restored, shared_dir
 
 LENGTH, GRAM, HOT = 200, 16, 50_000
-PART_BYTES, RUN_BYTES = 8 << 20, 64 << 20
+PART_BYTES, RUN_BYTES, TEXT_BYTES = 8 << 20, 64 << 20, 64 << 20
 _M = (1 << 64) - 1
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -407,20 +411,22 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["key", "n_removed", "kept_sha256", "spans"])
 
 
-def _text_table(docs: DataFrame, text: str, length: int) -> DataFrame:
+def _text_table(docs: DataFrame, text: str, length: int, parts: int) -> DataFrame:
     """Distinct texts ``(tid, key, copied, t)``, bucketed by ``key`` in the shared folder.
 
-    Later joins on ``key`` then shuffle only what is joined to the texts, never the texts.
+    Later joins on ``key`` then shuffle only what is joined to the texts, never the texts. The
+    caller drops the table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.sha2(text, 256).alias("key"), F.col(text).alias("s")).where(F.octet_length("s") >= length)
     rows = rows.groupBy("key").agg(F.first("s").alias("s"), F.count(F.lit(1)).alias("copies"))
     rows = rows.select(F.monotonically_increasing_id().alias("tid"), "key", (F.col("copies") > 1).alias("copied"), F.col("s").cast("binary").alias("t"))
     name = f"suffix_texts_{uuid.uuid4().hex}"
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
     writer.bucketBy(parts, "key").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    out.stored_at, out.named = f"{shared_dir(spark)}/{name}", name
+    return out
 
 
 def dedup_substrings(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int = HOT, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -428,8 +434,9 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = LENGTH,
     if length < 2 * GRAM + 2 or length > 500:
         raise ValueError("length must be 34 to 500 bytes")
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = _text_table(docs, text, length)
+    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // TEXT_BYTES)
+    texts = _text_table(docs, text, length, parts)
     names = texts.select("tid", "key")
 
     found = texts.select("tid", "t").mapInPandas(_anchor_rows(length), "k long, x long, tid long, w long, known boolean")
@@ -461,13 +468,16 @@ def dedup_substrings(docs: DataFrame, text: str = "text", length: int = LENGTH,
     whole = texts.where("copied").select(
         "key", F.octet_length("t").cast("long").alias("n_removed"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.array(F.struct(F.lit(0).alias("a"), F.octet_length("t").alias("b"))).alias("spans")
     )
-    done = materialize(done.union(whole).withColumnRenamed("key", "_key2"), "cut")
-    body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_key", F.sha2(body, 256)).join(done, F.col("_key") == F.col("_key2"), "left")
+    done = materialize(done.union(whole).select(F.struct("key", "n_removed", "kept_sha256", "spans").alias("_cut")), "cut")
+    spark.sql(f"DROP TABLE {texts.named}")
+    discard(texts, again, groups)
+    out, names = plain(docs)
+    body = F.coalesce(F.col(names[text]), F.lit(""))
+    out = out.withColumn("_key", F.sha2(body, 256)).join(done, F.col("_key") == F.col("_cut.key"), "left")
     told = F.struct(
         F.octet_length(body).cast("long").alias("n_bytes"),
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "_key").alias("kept_sha256"),
-        F.coalesce("spans", F.array().cast(spans)).alias("spans"),
+        F.coalesce("_cut.n_removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("_cut.kept_sha256", "_key").alias("kept_sha256"),
+        F.coalesce("_cut.spans", F.array().cast(spans)).alias("spans"),
     )
-    return out.withColumn("dedup", told).select(*docs.columns, "dedup")
+    return restored(out, names, dedup=told)
