@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparkhece.functions import rules
 from sparkhece.functions.case import case_transform, match_case, tr_capitalize
-from sparkhece.functions.text import accent, consonants, fold, turkish_letters, vowel_additions, vowel_pattern, words_and_gaps
+from sparkhece.functions.text import accent, consonants, fold, spaced_tokens, text_id, turkish_letters, vowel_additions, vowel_pattern, words_and_gaps
 
 MODULES = ("abbreviation", "case", "diacritics", "vowels", "spelling", "accent", "proper")
 
@@ -37,13 +37,19 @@ def expand_text(docs: DataFrame, abbrev: DataFrame, text: str = "text", key: str
 
 
 def rewrite_words(docs: DataFrame, text: str, key: str, work, which: str, out: str) -> DataFrame:
-    """Replace words in place: ``work`` maps distinct words ``(token)`` to ``(token, _new)``."""
-    pieces = docs.select(F.col(key), F.posexplode_outer(words_and_gaps(text)).alias("_p", "token"))
+    """Replace words in place: ``work`` maps distinct words ``(token)`` to ``(token, _new)``. Null text stays null.
+
+    Pieces are gathered by text, not by ``key``, which may be null or repeat; pieces of equal
+    texts fall together.
+    """
+    named = docs.withColumn("_id", text_id(text))
+    pieces = named.select("_id", F.posexplode(words_and_gaps(text)).alias("_p", "token"))
     new = work(pieces.where(F.col("token").rlike(which)).select("token").distinct()).select(F.col("token").alias("_t"), "_new")
     joined = pieces.join(new, F.col("token") == F.col("_t"), "left")
-    ordered = F.array_sort(F.collect_list(F.struct("_p", F.coalesce("_new", "token").alias("_w"))))
-    whole = joined.groupBy(key).agg(F.array_join(ordered["_w"], "").alias(out))
-    return docs.join(whole.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key")
+    ordered = F.array_sort(F.collect_set(F.struct("_p", F.coalesce("_new", "token").alias("_w"))))
+    whole = joined.groupBy("_id").agg(F.array_join(ordered["_w"], "").alias("_whole"))
+    done = named.join(whole, "_id", "left").select(*docs.columns, F.when(F.col(text).isNotNull(), F.coalesce("_whole", text)).alias("_out"))
+    return done.select(*[c for c in docs.columns if c != out], F.col("_out").alias(out))
 
 
 def restore_diacritics(words: DataFrame, lexicon: DataFrame, column: str = "token", out: str = "restored") -> DataFrame:
@@ -267,12 +273,23 @@ def capitalize_proper(words: DataFrame, analyses: DataFrame, column: str = "toke
 
 
 def normalize_sequences(docs: DataFrame, tokens: Column, lexicon: DataFrame, abbrev: DataFrame | None = None, analyses: DataFrame | None = None, key: str = "doc_id", disabled: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, normalized array<string>)`` of token sequences in their order."""
-    rows = docs.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    words = rows.select("token").where("token IS NOT NULL").distinct()
-    done = normalize_words(words, lexicon, abbrev, disabled=disabled)
+    """``(key, normalized array<string>)`` of token sequences in their order, one row per row of ``docs``.
+
+    Tokens are gathered by sequence, not by ``key``, which may be null or repeat. Null tokens
+    are left out; a null or empty sequence gives an empty one.
+    """
+    named = docs.select(F.col(key), tokens.alias("_seq")).withColumn("_id", text_id("_seq"))
+    rows = named.select("_id", F.posexplode("_seq").alias("pos", "token")).where("token IS NOT NULL")
+    done = normalize_words(rows.select("token").distinct(), lexicon, abbrev, disabled=disabled)
     if analyses is not None and "proper" not in disabled:
         done = capitalize_proper(done, analyses)
     joined = rows.join(done.withColumnRenamed("token", "_t"), F.col("token") == F.col("_t"), "left")
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("normalized", "token").alias("w")))))
-    return joined.groupBy(key).agg(ordered["w"].alias("normalized"))
+    ordered = F.array_sort(F.collect_set(F.struct("pos", F.coalesce("normalized", "token").alias("w"))))
+    whole = joined.groupBy("_id").agg(ordered["w"].alias("normalized"))
+    return named.select(key, "_id").join(whole, "_id", "left").select(key, F.coalesce("normalized", F.array().cast("array<string>")).alias("normalized"))
+
+
+def normalize_text(docs: DataFrame, lexicon: DataFrame, abbrev: DataFrame | None = None, analyses: DataFrame | None = None, text: str = "text", key: str = "doc_id", disabled: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, normalized string)``: pieces between white space normalized and joined by one blank; null text is empty."""
+    out = normalize_sequences(docs, spaced_tokens(text), lexicon, abbrev, analyses, key, disabled)
+    return out.select(key, F.array_join("normalized", " ").alias("normalized"))

@@ -14,6 +14,7 @@ from sparkhece.functions import rules
 _MARK = ".!?"
 _CLOSERS = {'"': '"', "'": "'", "«": "»", ",": " "}  # a comma opens what the next blank closes
 _KNOWN = frozenset(rules.ABBREVIATIONS)
+_BLANK = "".join(chr(c) for c in (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))  # Unicode white space
 
 
 def _abbreviated(text: str, i: int) -> bool:
@@ -25,10 +26,12 @@ def _abbreviated(text: str, i: int) -> bool:
     return plain in _KNOWN or (len(plain) == 1 and plain.isalpha()) or ("." in word and len(plain) <= 4)
 
 
-def _after(text: str, i: int) -> str:
-    """The first character behind ``i`` that is no blank."""
-    rest = text[i + 1 :].lstrip()
-    return rest[:1]
+def _next(text: str, i: int) -> int:
+    """The place of the first character behind ``i`` that is no blank, or the text's length."""
+    i += 1
+    while i < len(text) and text[i].isspace():
+        i += 1
+    return i
 
 
 def _ends(text: str, i: int) -> bool:
@@ -40,10 +43,10 @@ def _ends(text: str, i: int) -> bool:
         return False
     if after and after in _MARK:
         return False
-    gap = text[i + 1 :]
-    nxt = gap.lstrip()
-    if nxt[:1] == '"':
-        behind = nxt[1:].lstrip()[:1]
+    k = _next(text, i)
+    if text[k : k + 1] == '"':
+        k = _next(text, k)
+        behind = text[k : k + 1]
         if behind and not (behind.isupper() or behind in _CLOSERS):
             return False
     return True
@@ -61,7 +64,8 @@ def split_text(text: str | None, quotes: bool = True) -> list[str]:
             stack.append(_CLOSERS[c])
         elif quotes and stack and c == stack[-1]:
             stack.pop()
-            nxt = _after(text, i)
+            k = _next(text, i)
+            nxt = text[k : k + 1]
             cut = i > 0 and text[i - 1] in _MARK and (not nxt or (nxt.isupper() or nxt in _CLOSERS) and nxt not in _MARK)
         elif c in _MARK and not stack:
             cut = _ends(text, i)
@@ -206,15 +210,30 @@ def nb_predict(marks: DataFrame, model: tuple, keys: list[str]) -> DataFrame:
     return scored.select(*keys, "pos", (F.round(F.col("s") + prior, 9) > 0).alias("boundary"))
 
 
-def nb_split(df: DataFrame, text: str, keys: list[str], model: tuple) -> DataFrame:
-    """Rows ``(keys, sent_no, sentence)``: texts cut behind boundary marks; blank pieces are dropped.
+def nb_sentences(text: Column | str, model: tuple) -> Column:
+    """Sentences as ``array<string>``: the text cut behind boundary marks; blank pieces are dropped.
 
-    The cut places of a text are gathered per text (bounded by its length).
+    Marks are scored within the row. The weights travel with the function: one for each of the
+    feature strings that ``mark_features`` can give, a few dozen whatever the corpus.
     """
-    marks = nb_predict(nb_features(df, text, keys), model, keys).where("boundary")
-    cuts = marks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("_c"))
-    both = df.select(*keys, F.col(text).alias("_t")).join(cuts, keys, "left")
-    ends = F.concat(F.coalesce(F.col("_c"), F.array().cast("array<int>")), F.array(F.length("_t")))
-    both = both.withColumn("_c", F.array_distinct(ends))
-    pieces = F.expr(r"transform(_c, (e, k) -> regexp_replace(substring(_t, if(k = 0, 0, _c[k - 1]) + 1, e - if(k = 0, 0, _c[k - 1])), '(?U)^\\s+|\\s+$', ''))")
-    return both.withColumn("_p", F.filter(pieces, lambda s: s != "")).select(*keys, F.posexplode("_p").alias("sent_no", "sentence"))
+    table, prior, unseen = model
+    weight = {r["feature"]: r["w"] for r in table.collect()}
+
+    def cut(t: str | None) -> list[str]:
+        out, start = [], 0
+        for i, c in enumerate(t or ""):
+            if c in _MARK and round(sum(weight.get(f, unseen) for f in mark_features(t, i)) + prior, 9) > 0:
+                out.append(t[start : i + 1])
+                start = i + 1
+        return [p for p in (x.strip(_BLANK) for x in [*out, (t or "")[start:]]) if p]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(cut)
+
+    return F.pandas_udf(run, "array<string>")(F.col(text) if isinstance(text, str) else text)
+
+
+def nb_split(df: DataFrame, text: str, keys: list[str], model: tuple) -> DataFrame:
+    """Rows ``(keys, sent_no, sentence)`` of ``nb_sentences``."""
+    return df.select(*keys, F.posexplode(nb_sentences(text, model)).alias("sent_no", "sentence"))

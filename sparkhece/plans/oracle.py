@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparkhece.functions import rules
-from sparkhece.plans import samples
+from sparkhece.plans import samples, search_oracle
 from sparkhece.plans.samples import values
 
 _W = r"[\p{L}\p{N}_]"
@@ -225,8 +225,6 @@ SELECT token, CASE WHEN right_form IS NULL THEN token WHEN token = upper(token)
  c AS (SELECT token, word, len(word) - len(token) AS n FROM src JOIN sk ON s = token WHERE token NOT IN (SELECT word FROM lex) AND regexp_full_match(word, '([^aeıioöuü][aeıioöuü]?)*[^aeıioöuü]')),
  r AS (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY n, word) AS k FROM c)
 SELECT token, coalesce(word, token) AS restored, (len(coalesce(word, token)) - len(token))::INT AS added FROM src LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (token)""",
-    "spelling": f"SELECT token, corrected FROM {values([('cok', 'çok'), ('kitpa', 'kitap'), ('okll', 'okul'), ('gidyorum', 'gidiyorum'), ('masaa', 'masa'), ('ağaç', 'ağaç'), ('evv', 'ev'), ('guzel', 'güzel'), ('arkadas', 'arkadaş'), ('kapi', 'kapı')], 'token, corrected')}",
-    "error_model": f"SELECT pattern, n::BIGINT AS n, round(1 - n::DOUBLE / sum(n) OVER (), 6) AS cost FROM {values([('sub:c:ç', 1), ('ins:ü', 1), ('ins:e', 1), ('sub:p:a', 1), ('sub:a:p', 1), ('del:v', 1), ('ins:ç', 1), ('sub:u:ü', 1), ('ins:a', 1), ('del:b', 1)], 'pattern, n')}",
     "suffix_statistics": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY len(suffix) DESC, suffix) AS k FROM {values(samples.SUFFIXES, 'suffix, category')})
 SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM s), 6) AS percentage, string_agg(suffix, ',' ORDER BY k) FILTER (k <= 5) AS examples FROM s GROUP BY category""",
     "sentences_clean": f"WITH {_SENTENCES} SELECT doc_id, sent_no, sentence FROM numbered",
@@ -240,7 +238,9 @@ SELECT category, count(*) AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*
  m AS ({" UNION ALL ".join(f"SELECT '{k}' AS metric, a.{k} AS x, b.{k} AS y FROM a, b" for k in ("accuracy", "precision", "recall", "f1"))})
 SELECT metric, round(x, 6) AS first, round(y, 6) AS second, CASE WHEN x > y THEN 'list' WHEN x < y THEN 'set' ELSE 'Tie' END AS winner FROM m""",
     "token_errors": f"WITH {_scores(False)} SELECT doc_id, round(f1, 9) AS f1 FROM sc WHERE NOT exact ORDER BY doc_id LIMIT 20",
-    "morph_parse": f"SELECT 1::BIGINT AS doc_id, word, analysis FROM {values([('kitabı', 'kitap+Noun+A3sg+Acc'), ('kitabı', 'kitap+Noun+A3sg+P3sg'), ('okudu', 'oku+Verb+Past'), ('Ali', 'ali+Adj'), ('Ali', 'Ali+Noun+[Prop]')], 'word, analysis')}",
-    "proper_nouns": f"SELECT token, normalized FROM {values([('Ali', 'Ali'), ('okudu', 'okudu'), ('kitabı', 'kitabı')], 'token, normalized')}",
     "sql_functions": f"SELECT conv_id, turn, {_lower('text')} AS low, upper(translate(replace(text, 'ß', 'ss'), 'ıi', 'Iİ')) AS up, len(w)::INT AS n_tokens, {_FOLD.format('text')} AS folded FROM (SELECT *, list_filter(regexp_extract_all({_lower('text')}, '{_W}+'), lambda t: regexp_full_match(t, '[a-zçğıöşü]+')) AS w FROM conversations)",
 }
+SQL |= search_oracle.queries({
+    "tok": _tok, "rule_tokens": _rule_tokens, "fixes": _FIXES, "words": _WORDS, "sentences": _SENTENCES, "kind": _kind, "blank": _SPACES, "pieces": _PIECES,
+    "fold": _FOLD, "turkish": _TR, "transform": _transform, "accent": _accent, "capital": _cap,
+})

@@ -360,6 +360,11 @@ def normalize_sequences(spark, sf):
     return out.select("doc_id", _joined("normalized"))
 
 
+def normalize_text(spark, sf):
+    docs = _t(spark, sf, "benchmark").select("item_id", "text")
+    return normalize.normalize_text(docs, _vocabulary(spark, sf), key="item_id", disabled=("spelling", "vowels"))
+
+
 def streaming_df(spark, sf):
     return corpus.run_available(corpus.document_frequency(corpus.read_documents(spark, f"{sf}/documents.parquet")))
 
@@ -450,6 +455,7 @@ QUERIES: dict[str, Query] = {
     "service_stem": service_stem,
     "service_normalize": service_normalize,
     "normalize_sequences": normalize_sequences,
+    "normalize_text": normalize_text,
     "streaming_df": streaming_df,
     "sql_functions": sql_functions,
     "sql_sentences": sql_sentences,

@@ -49,10 +49,7 @@ def register(spark: SparkSession, stemmer: Stemmer | None = None, phrases: list[
                 yield s.map(stemmer.stem)
 
         spark.udf.register("tr_stem", F.pandas_udf(stems, "string"))
-
-    class Sentences:
-        def eval(self, text: str):
-            for i, s in enumerate(split_text(text)):
-                yield i, s
-
-    spark.udtf.register("tr_sentences", F.udtf(Sentences, returnType="sent_no: int, sentence: string"))
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION tr_sentences(s STRING) RETURNS TABLE (sent_no INT, sentence STRING) RETURN "
+        "SELECT p.pos, p.col FROM (SELECT posexplode(tr_sentence_array(s))) p"
+    )
