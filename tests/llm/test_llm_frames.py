@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparkhece.llm import decontam, html_wrapper, langid, media_ogg, mixing, paragraphs, quality, simhash, suffix_dedup, toxicity
+from sparkhece.llm import common, decontam, html_wrapper, langid, media_ogg, mixing, paragraphs, quality, simhash, suffix_dedup, toxicity
 from sparkhece.llm.common import components
 
 CLASH = "key string, fp string, h string, w string, t string, a string, b string"
@@ -102,6 +102,14 @@ def test_suffix_dedup_frame(spark):
     assert suffix_dedup.dedup_substrings(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_clashing_names_and_catalog(spark):
+    names = "spans n_removed key _key tid kept_sha256 dedup t a b h w _c0 _c1 _cut".split()
+    df = spark.createDataFrame([(1, "x" * 150 + LONG[:400], *names), (2, LONG[:400], *names), (2, LONG[:400], *names)], ["doc_id", "text", *names])
+    got = suffix_dedup.dedup_substrings(df).orderBy("doc_id").collect()
+    assert [r.dedup.n_bytes > r.dedup.n_removed for r in got] == [True, False, False] and all(r.spans == "spans" and r._cut == "_cut" for r in got)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("suffix_texts")]
+
+
 def test_paragraph_dedup_frame(spark):
     rng = random.Random(7)
     para = lambda: " ".join(f"w{rng.randrange(2000)}" for _ in range(60))
@@ -113,9 +121,9 @@ def test_paragraph_dedup_frame(spark):
     for limit in (32, 1):
         out = {r.doc_id: r for r in paragraphs.dedup_paragraphs(df, pair_limit=limit).collect()}
         assert out[6].text == texts[6] and out[6].dedup.n_removed == 0
-        assert out[7].text == texts[7].split("\n")[1] and list(out[7].dedup.removed) == [0]
+        assert out[7].text == texts[7].split("\n")[1] and list(out[7].dedup.lines) == [0] and out[7].dedup.n_removed == 60
         assert out[8].text == texts[8].split("\n")[0] + "\nkısa satır" and out[9].text == texts[9] and out[10].text == ""
-        assert out[0].text is None and out[0].dedup.n_paragraphs == 0 and out[4].text == out[5].text == "aynı metin burada"
+        assert out[0].text is None and out[0].dedup.n_removed == 0 and out[4].text == out[5].text == "aynı metin burada"
     assert paragraphs.dedup_paragraphs(df.limit(0)).count() == 0
 
 
@@ -136,7 +144,7 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), sorted(found)
 
 
-def test_decontamination_frame(spark):
+def test_decontamination_frame(spark, monkeypatch):
     rng = random.Random(8)
     words = lambda n: [rng.choice(["Ali", "ve", "ÉTÉ", "été", "İki", "K", "3x"]) + str(rng.randrange(6)) for _ in range(n)]
     a, b, c = words(40), words(25), words(4)
@@ -144,13 +152,26 @@ def test_decontamination_frame(spark):
     texts = EDGES + [" ".join(words(20) + a[3:30] + words(9)), " ".join(a).upper(), "! " + ", ".join(words(5) + b[2:11]), " ".join(b[1:11] + b[1:11]), " ".join(words(3) + c + words(2) + c), " ".join(a)]
     df = frame(spark, texts)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for most in (100_000, 0):
-        got = decontam.decontaminate(df, bench, max_broadcast=most).collect()
+    for most in (common.MAX_BROADCAST, 0):
+        monkeypatch.setattr(common.sized, "__defaults__", (most,))
+        got = decontam.decontaminate(df, bench).collect()
         assert sorted((r.hits.n_words, r.hits.n_hit, list(r.hits["items"]), r.hits.n_items) for r in got) == sorted((*brute_hits(t, items), len(brute_hits(t, items)[2])) for t in texts)
     assert decontam.decontaminate(df, bench.limit(0)).agg(F.sum("hits.n_hit")).first()[0] == 0
     assert decontam.decontaminate(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_letters_whose_case_depends_on_neighbours(spark):
+    """Only A-Z are lower-cased: a copy of an item is hit whatever its letters are; names clash with all that is joined."""
+    item = "\u0391\u03a3'\u0391 \u0130stanbul \u212a \u03a3 \u03a3\u03a3. \u00df ONE Two three four five six"
+    names = "key t fp mark s len wid seeds n_hit items hits w n p h off at wids _c0 _c1 _hits _told".split()
+    df = spark.createDataFrame([(1, item, *names), (2, item.replace("ONE", "oNe"), *names), (3, item.lower(), *names)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    for part in (names[:11], names[11:]):
+        got = {r.doc_id: r.hits for r in decontam.decontaminate(df.select("doc_id", "text", *part), bench).collect()}
+        want = {i: brute_hits(t, [(7, item)]) for i, t in enumerate((item, item.replace("ONE", "oNe"), item.lower()), 1)}
+        assert {i: (h.n_words, h.n_hit, list(h["items"])) for i, h in got.items()} == want and want[1][1] == want[2][1] > 10
+
+
 def test_mixing_frame(spark):
     rng = random.Random(9)
     en = [" ".join(rng.choice(["the", "thing", "which", "why", "how"]) for _ in range(50)) for _ in range(60)]
@@ -168,6 +189,32 @@ def test_mixing_frame(spark):
         mixing.posteriors(df, labels, max_domains=1)
 
 
+def test_mixing_learns_and_solves_least_squares(spark):
+    """Held-out domains are told apart by learned sequences; the rates meet the conditions of the least-squares optimum."""
+    import numpy as np
+
+    rng = random.Random(12)
+    words = {"x": ["thi", "oth", "the"], "y": ["sch", "ein", "auf"], "z": ["que", "les", "eau"]}
+    kinds = [rng.choice("xyz") for _ in range(240)]
+    texts = [" ".join(rng.choice(words[k]) + rng.choice("aeiou") for _ in range(rng.randrange(1, 80))) for k in kinds]
+    df = frame(spark, texts)
+    told = spark.createDataFrame([(i, k) for i, k in enumerate(kinds) if i % 4 == 0 and i != 1], "doc_id long, domain string")
+    out = {r.doc_id: r for r in mixing.mix(df, told, {"x": 0.6, "y": 0.3, "z": 0.1}).collect()}
+    assert sum(out[i].domain == k for i, k in enumerate(kinds) if i % 4 and i != 1) >= 0.97 * sum(1 for i in range(240) if i % 4 and i != 1)
+    assert all(r.converged and abs(r.reached_share - r.target_share) < 1e-4 for r in out.values())
+    # targets that no rates meet: one domain has no document
+    soft, _ = mixing.posteriors(df, told)
+    soft = soft.withColumn("p0", F.col("p0") + F.col("p2") * 0.5).withColumn("p2", F.col("p2") * 0.5)
+    for weights in ([0.2, 0.3, 0.5], [0.0, 0.0, 1.0]):
+        rated, targets, reached, converged = mixing.fit_rates(soft, weights, rounds=5000)
+        rows = rated.collect()
+        a = np.array([[r["_t"] * r[f"p{d}"] for d in range(3)] for r in rows])
+        rate = np.array([r["_rate"] for r in rows])
+        assert converged and (rate >= 0).all() and np.allclose(rate @ a, reached)
+        slope = a @ ((rate @ a - np.array(targets)) / np.array(targets).sum()) / np.maximum(1, a.sum(axis=1))
+        assert slope.min() > -0.02 and np.abs(slope[rate > 1e-9]).max() < 0.02
+
+
 def test_html_frame(spark):
     rng = random.Random(10)
     page = lambda body: f"<html><body><div><p>Welcome to the site</p><div><p>{body}</p></div><p>All rights</p></div></body></html>"
@@ -180,6 +227,23 @@ def test_html_frame(spark):
     assert html_wrapper.extract(df.limit(0)).count() == 0
 
 
+def test_html_template_inside_the_article(spark):
+    """Text that is the same on all pages of a host goes, inside a marked article too; near copies of articles say nothing."""
+    page = lambda body: f"<main><h1>About {body}</h1><p>Read our other stories</p><p>{body} said so, and more on {body} follows.</p></main>"
+    rows = [(i, f"http://a.example/{i}", page(f"story {i}")) for i in range(12)]
+    rows += [(100 + i, f"http://copies.example/{i}", page("the one") + f"<!-- {i} -->") for i in range(12)]
+    rows += [(200 + i, f"http://few.example/{i}", page(f"story {i}")) for i in range(6)]
+    rows += [rows[0]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in range(3):  # every name that the operator joins or adds
+        clash = df.selectExpr("*", *[f"'x' AS {c}" for c in ("_host _shape _ref _h".split(), "_s _at _rh _ra".split(), "_blocks _fixed n slot at r main_text".split())[n]])
+        got = {r.page_id: r.main_text for r in html_wrapper.extract(clash).collect()}
+        assert all(got[i] == f"About story {i}\nstory {i} said so, and more on story {i} follows." for i in range(12))
+        assert all("Read our other stories" in got[i] for i in got if i >= 100)
+    reached = sum(1 for r in rows for b in html_wrapper.blocks(r[2], rows[3][2]) if b[0] >= 0)
+    assert reached == 3 * len(rows)
+
+
 def test_classifier_frames(spark):
     df = frame(spark, EDGES + ["iyi metin " * 20, "kötü!! *** " * 20])
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1), (3, None, None), (None, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
@@ -216,15 +280,18 @@ def test_large_bucket_keeps_its_component(spark):
         texts += [" ".join(base[:i] + [f"x{n}y{i}"] + base[i + 1 :]) for n in range(3) for i in range(10, 50, 2)]
     texts.append(" ".join(base))
     shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
-    keys = [set(k) for k in paragraphs.band_keys(texts).tolist()]
+    hashed = [paragraphs.word_hashes(t.split()) for t in texts]
+    bands = paragraphs.band_keys(hashed).tolist()
+    keys = [set(k) for k in bands]
     want = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
             if keys[i] & keys[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
                 a, b = sorted((want[i], want[j]))
                 want = [a if g == b else g for g in want]
-    df = spark.createDataFrame(list(enumerate(texts)), "pid long, p string")
-    got = {r.pid: r.comp for r in paragraphs.clusters(df, pair_limit=8).collect()}
+    df = spark.createDataFrame(list(enumerate(bands)), "pid long, keys array<bigint>")
+    sets = spark.createDataFrame([(i, paragraphs.shingle_hashes([u])[0].view("int64").tolist()) for i, u in enumerate(hashed)], "pid long, s array<bigint>")
+    got = {r.pid: r.comp for r in paragraphs.clusters(df, lambda ids: sets.join(ids, "pid"), pair_limit=8).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
@@ -251,3 +318,39 @@ def test_pipeline_drops_near_copies(spark):
     assert (simhash.fingerprint(" ".join(base)) ^ simhash.fingerprint(" ".join(near))).bit_count() > 2
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([base, near, far, base])], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()) == [0, 2]
+
+
+def test_passages_by_brute_force(spark):
+    """All runs of 50 words that occurred before go, and nothing else; texts are quilted from shared runs of 20 to 90 words."""
+    rng = random.Random(11)
+    pool = [[f"s{i}x{j}" for j in range(200)] for i in range(4)]
+    rows = []
+    for d in range(40):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            words += [f"d{d}w{rng.randrange(9999)}" for _ in range(rng.randrange(40))]
+            run, at = rng.choice(pool), rng.randrange(110)
+            words += run[at : at + rng.randrange(20, 91)]
+        rows.append((d if d % 7 else None, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.dedup.n_removed, r.text) for r in paragraphs.dedup_paragraphs(df, min_words=10_000).collect())
+    key = {r.text: r.x for r in df.selectExpr("text", "xxhash64(text) AS x").collect()}
+    seen, want = set(), []
+    for k, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key[r[1]])):
+        words = text.split()
+        drop = [False] * len(words)
+        for i in range(len(words) - 49):
+            run = tuple(words[i : i + 50])
+            if run in seen:
+                drop[i : i + 50] = [True] * 50
+            seen.add(run)
+        want.append((k or 0, sum(drop), " ".join(w for w, g in zip(words, drop, strict=True) if not g)))
+    assert got == sorted(want) and sum(n for _, n, _ in want) > 500
+
+
+def test_paragraph_dedup_clashing_names_and_repeats(spark):
+    line = " ".join(f"w{i}" for i in range(60))
+    names = ["k", "x", "t", "k2", "x2", "pid", "comp", "removed", "starts", "place", "lead", "dedup", "n", "keys", "h", "pos", "_c0", "_mark", "_cut"]
+    df = spark.createDataFrame([(1, line, *names), (1, line, *names), (2, f"{line}\nkalan", *names), (None, line, *names)], ["doc_id", "text", *names])
+    got = paragraphs.dedup_paragraphs(df).orderBy("doc_id", "text").collect()
+    assert [(r.doc_id, r.text) for r in got] == [(None, line), (1, ""), (1, ""), (2, "kalan")] and all(r.removed == "removed" and r.starts == "starts" for r in got)
