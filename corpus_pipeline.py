@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkhece.llm import decontam, mixing, paragraphs, quality
+from sparkhece.llm import decontam, mixing, paragraphs, quality, simhash
 from sparkhece.llm.common import fold, materialize, table
 from sparkhece.llm.queries import MIX_TARGETS
 
@@ -22,20 +22,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup by MinHash and exact Jaccard 0.8 on 5-word shingles of whole texts: of each group the document of least id stays (all without an id stay)."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"\s+", " "))
-    texts = docs.select("doc_id", words.alias("p")).withColumn("pid", F.xxhash64("p"))
-    distinct = materialize(texts.groupBy("pid").agg(F.first("p").alias("p")), "texts")
-    named = paragraphs.clusters(distinct)
-    marked = texts.select("doc_id", "pid").join(named, "pid", "left").select("doc_id", F.coalesce("comp", "pid").alias("comp"))
-    marked = materialize(marked, "marked")
-    least = marked.groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = marked.join(least, "comp").where(F.col("doc_id") > F.col("least")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """SimHash near-dedup on 5-word shingles, links verified by Jaccard 0.8: the document of least id of each group stays.
+
+    Empty and null texts are copies of each other; repeated rows are copies too; a null id is
+    the least.
+    """
+    return simhash.keep_first(docs)
 
 
 def drop_repeated_paragraphs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: paragraphs that repeat elsewhere go; a document that loses all of its text goes too."""
+    """Substring dedup: paragraphs and passages that repeat elsewhere go; a document that loses all of its text goes too.
+
+    Rows of null text stay. ``n_chars`` follows the text where some was removed.
+    """
     out = paragraphs.dedup_paragraphs(docs)
     kept = out.where((F.col("dedup.n_removed") == 0) | (F.trim("text") != ""))
     return kept.withColumn("n_chars", F.when(F.col("dedup.n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -48,19 +47,20 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: every document with its rate and copies."""
-    return mixing.mix(docs.select("doc_id", "text"), docs.select("doc_id", F.col("lang").alias("domain")), MIX_TARGETS)
+    """Mixing to target weights: every document with its rate and copies; the domains are learned from a quarter of them by their language."""
+    labelled = docs.where(fold(F.col("doc_id"), 4) == 0).select("doc_id", F.col("lang").alias("domain"))
+    return mixing.mix(docs.select("doc_id", "text"), labelled, MIX_TARGETS)
 
 
 STAGES = [
     ("quality", keep_quality),
-    ("near-duplicates", drop_near_duplicates),
+    ("simhash", drop_near_duplicates),
     ("paragraphs", drop_repeated_paragraphs),
     ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]
 
-#: The quality scores, MinHash and fitted rates are not expressible in SQL.
+#: The quality scores, fingerprints, MinHash and fitted rates are not expressible in SQL.
 ORACLE_SQL = None
 
 
