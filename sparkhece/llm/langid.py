@@ -1,18 +1,21 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Training counts n-grams of 1 to ``orders`` characters in all training rows, in Spark: each
-batch of rows yields one row per language and non-empty bucket, and the sums are collected
-as a matrix of ``languages x buckets`` (bounded by the model's size, not by the data). The
-matrix of log probabilities is broadcast and whole texts are scored in batches in numpy.
-
-Defined results: null text or a text without any letter gives ``und`` and score 0; rows with
-null text or null language are not learned from; ties go to the language that sorts first;
-without any training row every text is ``und``.
+task yields one row per language and non-empty bucket, and the sums are collected as a matrix
+of ``languages x buckets`` (bounded by the model's size, not by the data; more than
+``MAX_LANGS`` languages are an error). The matrix of log probabilities is broadcast and whole
+texts are scored in batches in numpy, a long text piece by piece.
+
+Defined results: null text or a text without any letter (Unicode category L) gives ``und``
+and score 0; rows with null text or null language are not learned from; repeated rows count
+as often as they occur, and so do rows that give one text several languages; ties go to the
+language that sorts first; without any training row every text is ``und``; an empty table
+gives an empty table. Texts may be of any length. Extra columns may have any name, but for
+the one named ``out``, which is replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,25 +26,46 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 14
 ORDERS = 3
-_LETTER = re.compile(r"[^\W\d_]")
+MAX_LANGS = 512
+PIECE = 1 << 18  # characters whose n-grams are hashed at once
 _GOLD = np.uint32(2654435761)
 
 
-def batch_ngrams(texts: list[str], buckets: int = BUCKETS, orders: int = ORDERS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, the bucket of every n-gram of every text and the index of its text.
+def pieces(texts: list[str], orders: int = ORDERS, most: int = PIECE) -> Iterator[list[tuple[int, str, int]]]:
+    """Batches of ``(text number, characters, how many of them n-grams start at)`` of about ``most`` characters.
 
-    Texts are lower-cased and joined by spaces, so a text's n-grams start in it and end at
-    the latest in the two spaces behind it.
+    Texts are lower-cased and followed by blanks, so every character starts an n-gram of each
+    order, and none reaches into another text.
     """
-    codes = np.frombuffer((("  ".join(texts)) + "  ").lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    sizes = np.fromiter((len(t.lower()) + 2 for t in texts), dtype=np.int64, count=len(texts))
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    run, size = [], 0
+    for i, t in enumerate(texts):
+        t = t.lower()
+        for at in range(0, len(t), most):
+            n = min(most, len(t) - at)
+            run.append((i, t[at : at + n + orders - 1].ljust(n + orders - 1), n))
+            size += n
+            if size >= most:
+                yield run
+                run, size = [], 0
+    if run:
+        yield run
+
+
+def ngrams(batch: list[tuple[int, str, int]], buckets: int = BUCKETS, orders: int = ORDERS) -> list[np.ndarray]:
+    """For each order, the bucket of every n-gram of the pieces, in order."""
+    codes = np.frombuffer("".join(p for _, p, _ in batch).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    tail = orders - 1
+    ends = np.cumsum([n + tail for _, _, n in batch])
+    starts = np.ones(len(codes), dtype=bool)
+    for k in range(1, orders):
+        starts[ends - k] = False  # what follows a piece is only read
     out, h = [], np.zeros(len(codes), dtype=np.uint32)
     for n in range(orders):
         keep = len(codes) - n
         h = (h[:keep] * np.uint32(16777619)) ^ (codes[n:] + np.uint32(n * 97 + 1))
-        mixed = (h ^ (h >> np.uint32(15))) * _GOLD
-        out.append(((mixed >> np.uint32(8)) % np.uint32(buckets), owner[:keep]))
+        own = h[: len(codes) - tail][starts[: len(codes) - tail]] if tail else h
+        mixed = (own ^ (own >> np.uint32(15))) * _GOLD
+        out.append((mixed >> np.uint32(8)) % np.uint32(buckets))
     return out
 
 
@@ -65,12 +89,15 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
             for label, part in batch.groupby("l")["t"]:
                 mine = sums.setdefault(label, np.zeros(buckets, dtype=np.int64))
                 rows[label] = rows.get(label, 0) + len(part)
-                for h, _ in batch_ngrams(part.tolist(), buckets, orders):
-                    mine += np.bincount(h, minlength=buckets)
+                for some in pieces(part.tolist(), orders):
+                    for h in ngrams(some, buckets, orders):
+                        mine += np.bincount(h, minlength=buckets)
         for label, mine in sums.items():
             at = np.append(np.flatnonzero(mine), buckets)
             yield pd.DataFrame({"l": label, "bucket": at, "n": np.append(mine[at[:-1]], rows[label])})
 
+    if df.select("l").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     got = df.mapInPandas(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(got["l"].unique())
     counts, prior = np.zeros((buckets, len(langs))), np.ones(len(langs))
@@ -86,14 +113,16 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", buckets: int =
 def predict(texts: list[str | None], model: Model, orders: int = ORDERS) -> tuple[list[str], np.ndarray]:
     """Language and posterior probability of each text."""
     n, k = len(texts), len(model.langs)
-    known = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], dtype=bool)
+    known = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts], dtype=bool)
     if not k or not known.any():
         return ["und"] * n, np.zeros(n)
     rows = [t for t, ok in zip(texts, known, strict=True) if ok]
     total = np.tile(model.prior, (len(rows), 1))
-    for h, owner in batch_ngrams(rows, len(model.logp), orders):
-        starts = np.searchsorted(owner, np.arange(len(rows)))
-        total += np.add.reduceat(model.logp[h], starts, axis=0)
+    for some in pieces(rows, orders):
+        starts = np.concatenate([[0], np.cumsum([m for _, _, m in some])[:-1]])
+        of = np.array([i for i, _, _ in some])
+        for h in ngrams(some, len(model.logp), orders):
+            np.add.at(total, of, np.add.reduceat(model.logp[h], starts, axis=0))
     best = total.argmax(axis=1)
     post = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     langs, score = np.full(n, "und", dtype=object), np.zeros(n)
@@ -108,23 +137,7 @@ def identify(df: DataFrame, model: Model, text: Column | str = "text", out: str
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            parts, texts = [], s.tolist()
-            for some in _chunks(texts):
-                langs, score = predict(some, shared.value)
-                parts.append(pd.DataFrame({"lang_pred": langs, "score": score}))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": [], "score": []})
+            langs, score = predict(s.tolist(), shared.value)
+            yield pd.DataFrame({"lang_pred": langs, "score": score})
 
     return df.withColumn(out, F.pandas_udf(run, "lang_pred string, score double")(text))
-
-
-def _chunks(texts: list, most: int = 1 << 18) -> Iterator[list]:
-    """Runs of texts of about ``most`` characters, so that numpy's arrays stay in the cache."""
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t or "")
-        if size >= most:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
