@@ -9,8 +9,11 @@ where the strength reaches the quantile.
 
 Features use only the whole text. Training takes at most ``max_train`` labelled rows (least
 key hash) and ``max_pairs`` pairs of them. Defined results: null text has the features of
-the empty text; rows with null label are not learned from; with one label only (or none)
-all weights are 0 and every document scores 0.5.
+the empty text; rows with null label are not learned from; a key with several labels or texts
+is learned from once for each, in the order of the hashes of key and text and then of the
+label; with one label only (or none) all weights are 0 and every document scores 0.5; equal
+scores are kept or rejected together. An empty table gives an empty table; texts may be of any
+length. Extra columns may have any name, but for the one named ``out``, which is replaced.
 """
 
 from __future__ import annotations

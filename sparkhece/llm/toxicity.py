@@ -7,7 +7,10 @@ on partitions); per-coordinate rates and the L1 term leave few non-zero weights,
 broadcast as sorted arrays. Scoring covers every whole text.
 
 Defined results: null and empty texts score the intercept's probability; rows with null
-label or null text are not learned from; without training rows every score is 0.5.
+label or null text are not learned from; a key with several labels or texts is learned from
+once for each, in the order of the hashes of key and text and then of the label; without
+training rows every score is 0.5; an empty table gives an empty table. Extra columns may have
+any name, but for the one named ``out``, which is replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import labelled_sample
+from sparkhece.llm.common import labelled_sample, materialize
 
 BITS = 20
 MAX_TRAIN = 12_000
@@ -78,16 +81,25 @@ def fit(rows: list[np.ndarray], labels: list[int], bits: int = BITS, epochs: int
     return Model(index.astype(np.uint32), w[index], float(w[-1]), bits)
 
 
-def _packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in texts:
-        yield s.map(lambda t: hashed(t).astype(np.uint32).tobytes())
+        yield s.map(lambda t: hashed(t).astype(np.int32))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", max_train: int = MAX_TRAIN, **params) -> Model:
     """Fit on the texts of at most ``max_train`` rows of ``labels(key, label)``."""
     rows = labelled_sample(docs, labels, key, text, label, max_train, salt=9)
-    rows = rows.select("k", "k2", "y", F.pandas_udf(_packed, "binary")("t").alias("x"))
-    got = rows.orderBy("k", "k2", "y").limit(max_train).collect()
+    rows = materialize(rows.select("k", "k2", "y", F.pandas_udf(_features, "array<int>")("t").alias("x")), "toxic-rows")
+    often = rows.select(F.explode("x").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
+    kept = np.zeros(1 << BITS, dtype=bool)
+    kept[[r["f"] for r in often.select("f").collect()]] = True  # at most 2**BITS numbers
+    kept = docs.sparkSession.sparkContext.broadcast(kept)
+
+    def packed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in lists:
+            yield s.map(lambda x: x[kept.value[x]].astype(np.uint32).tobytes())
+
+    got = rows.select("k", "k2", "y", F.pandas_udf(packed, "binary")("x").alias("x")).orderBy("k", "k2", "y").limit(max_train).collect()
     if not got:
         return Model(np.zeros(0, np.uint32), np.zeros(0), 0.0)
     return fit([np.frombuffer(r["x"], dtype=np.uint32) for r in got], [r["y"] for r in got], **params)
