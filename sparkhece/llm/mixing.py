@@ -5,9 +5,9 @@ domains: multinomial naive Bayes over counts of character sequences. The sequenc
 of all runs of 1 to 3 characters in a sample of labelled texts those that tell most about the
 domain (mutual information) are taken; their odds are counted in the whole text of all
 labelled rows. Document rates ``r >= 0`` (expected copies) then minimise the squared distance
-between the expected token totals ``sum_i r_i t_i p_i`` and the targets. The gradient step is
-scaled per document by its tokens and per domain by the domain's curvature, so few rounds are
-needed:
+between the expected token totals ``sum_i r_i t_i p_i`` and the targets, weighted per domain
+by one over its curvature ``s_d``. The gradient step is scaled per document by its tokens, so
+few rounds are needed:
 
     r_i <- max(0, r_i - step * sum_d p_id * residual_d / s_d)
 

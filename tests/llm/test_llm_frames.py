@@ -211,7 +211,8 @@ def test_mixing_learns_and_solves_least_squares(spark):
         a = np.array([[r["_t"] * r[f"p{d}"] for d in range(3)] for r in rows])
         rate = np.array([r["_rate"] for r in rows])
         assert converged and (rate >= 0).all() and np.allclose(rate @ a, reached)
-        slope = a @ ((rate @ a - np.array(targets)) / np.array(targets).sum()) / np.maximum(1, a.sum(axis=1))
+        p = np.array([[r[f"p{d}"] for d in range(3)] for r in rows])
+        slope = p @ ((rate @ a - np.array(targets)) / (a * p).sum(axis=0))  # of the weighted squared distance, by token
         assert slope.min() > -0.02 and np.abs(slope[rate > 1e-9]).max() < 0.02
 
 

@@ -279,8 +279,9 @@ def test_language_prediction():
     langs = sorted(texts)
     counts = np.zeros((langid.BUCKETS, 3))
     for k, g in enumerate(langs):
-        for h, _ in langid.batch_ngrams([texts[g]] * 5):
-            counts[:, k] += np.bincount(h, minlength=langid.BUCKETS)
+        for some in langid.pieces([texts[g]] * 5):
+            for h in langid.ngrams(some):
+                counts[:, k] += np.bincount(h, minlength=langid.BUCKETS)
     m = langid.Model(langs, np.log(counts + 0.5) - np.log(counts.sum(0) + 0.5 * langid.BUCKETS), np.log(np.ones(3) / 3))
     got, score = langid.predict(["that thing", "und der schein", None, "", "123 !?", "à côté", LONG], m)
     assert got[:6] == ["en", "de", "und", "und", "und", "fr"] and got[6] in langs and score[2] == 0 and 0.5 < score[0] <= 1
@@ -289,6 +290,19 @@ def test_language_prediction():
     assert abs(one - score[0]) < 1e-12
 
 
+def test_ngrams_do_not_depend_on_pieces_or_neighbours():
+    text = "Bir İki üç — " * 50
+    whole = [np.concatenate(x) for x in zip(*(langid.ngrams(b) for b in langid.pieces([text])), strict=True)]
+    cut = [np.concatenate(x) for x in zip(*(langid.ngrams(b) for b in langid.pieces([text], most=7)), strict=True)]
+    assert all((a == b).all() and len(a) == len(text.lower()) for a, b in zip(whole, cut, strict=True))
+    m = langid.Model(["a", "b"], np.log(np.random.default_rng(1).random((64, 2))), np.zeros(2))
+    rows = ["one text", "x", "\u00bd \u00b2", "", None, "ħ", "another text that is longer"]
+    langs, score = langid.predict(rows, m)
+    alone = [langid.predict([t], m) for t in rows]
+    assert langs == [x[0][0] for x in alone] and np.allclose(score, [x[1][0] for x in alone])
+    assert langs[2] == langs[3] == langs[4] == "und" and langs[5] != "und"
+
+
 def test_minhash_bands():
     rng = random.Random(3)
     hashed = lambda words: paragraphs.word_hashes(words)
