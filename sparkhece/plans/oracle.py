@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sparkhece.functions import rules
-from sparkhece.plans import samples, search_oracle
+from sparkhece.plans import samples, search_oracle, source_queries
 from sparkhece.plans.samples import values
 
 _W = r"[\p{L}\p{N}_]"
@@ -240,7 +240,9 @@ SELECT metric, round(x, 6) AS first, round(y, 6) AS second, CASE WHEN x > y THEN
     "token_errors": f"WITH {_scores(False)} SELECT doc_id, round(f1, 9) AS f1 FROM sc WHERE NOT exact ORDER BY doc_id LIMIT 20",
     "sql_functions": f"SELECT conv_id, turn, {_lower('text')} AS low, upper(translate(replace(text, 'ß', 'ss'), 'ıi', 'Iİ')) AS up, len(w)::INT AS n_tokens, {_FOLD.format('text')} AS folded FROM (SELECT *, list_filter(regexp_extract_all({_lower('text')}, '{_W}+'), lambda t: regexp_full_match(t, '[a-zçğıöşü]+')) AS w FROM conversations)",
 }
-SQL |= search_oracle.queries({
+_PARTS = {
     "tok": _tok, "rule_tokens": _rule_tokens, "fixes": _FIXES, "words": _WORDS, "sentences": _SENTENCES, "kind": _kind, "blank": _SPACES, "pieces": _PIECES,
     "fold": _FOLD, "turkish": _TR, "transform": _transform, "accent": _accent, "capital": _cap,
-})
+}
+SQL |= search_oracle.queries(_PARTS)
+SQL |= source_queries.queries_sql(_PARTS, SQL)

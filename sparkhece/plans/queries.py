@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkhece.functions import case, text
 from sparkhece.functions.rules import ACCENT, EMAIL, HASHTAG, MENTION, URL
 from sparkhece.operators import evaluate, mltok, normalize, sentences, stem, stopwords, tokenize
-from sparkhece.plans import samples, services
+from sparkhece.plans import samples, services, source_queries
 from sparkhece.register import register
 from sparkhece.sources import lexicons
 from sparkhece.streaming import corpus
@@ -459,4 +459,5 @@ QUERIES: dict[str, Query] = {
     "streaming_df": streaming_df,
     "sql_functions": sql_functions,
     "sql_sentences": sql_sentences,
+    **source_queries.QUERIES,
 }

@@ -207,6 +207,30 @@ def bayes_sentences(training: str, kind: Callable[[str, bool], str], blank: str)
  nbs AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS sent_no, sentence FROM dst WHERE sentence <> '')"""
 
 
+# ---- the quote stack ---------------------------------------------------------------------
+
+def stacked_sentences(clean: str, table: str, key: str) -> str:
+    """CTEs up to ``qs (key, sent_no, sentence)``: the rule splitter with its quote stack, one event of every text a step.
+
+    ``clean`` are the CTEs of the splitter without quotes, whose ``br`` says which marks end a sentence.
+    """
+    opened = " ".join(f"WHEN c = '{a}' THEN stack || '{b}'" for a, b in (('"', '"'), ("''", "''"), ("«", "»"), (",", " ")))
+    after = "ltrim(array_to_string(c[i + 1:i + 8], ''))[1:1]"
+    upper = r"""[\p{Lu}"''«,]"""
+    return f"""{clean.replace('documents', table).replace('doc_id', key)},
+ ev AS (SELECT {key}, list(e ORDER BY i) AS es FROM (SELECT {key}, i, {{'i': i, 'c': c[i], 'quiet': coalesce(cut, false),
+   'behind': i > 1 AND c[i - 1] IN ('.', '!', '?') AND ({after} = '' OR regexp_full_match({after}, '{upper}'))}} AS e
+   FROM (SELECT {key}, c, unnest(range(1, len(c) + 1)) AS i FROM ch) x LEFT JOIN br USING ({key}, i) WHERE c[i] IN ('"', '''', '«', '»', ',', ' ', '.', '!', '?')) GROUP BY {key}),
+ walk AS (SELECT {key}, 0 AS k, '' AS stack, 0::BIGINT AS i, false AS cut FROM ev
+  UNION ALL
+  SELECT {key}, k + 1, CASE {opened} WHEN closes THEN stack[1:len(stack) - 1] ELSE stack END, i, CASE WHEN c IN ('"', '''', '«', ',') THEN false WHEN closes THEN behind ELSE c IN ('.', '!', '?') AND stack = '' AND quiet END
+  FROM (SELECT {key}, k, stack, e.i AS i, e.c AS c, e.quiet AS quiet, e.behind AS behind, stack <> '' AND stack[-1:] = e.c AS closes FROM (SELECT r.{key}, k, stack, es[k + 1] AS e FROM walk r JOIN ev USING ({key}) WHERE k < len(es)) w)),
+ qcut AS (SELECT {key}, i FROM walk WHERE cut UNION SELECT {key}, len(t) FROM flat WHERE len(t) > 0),
+ qseg AS (SELECT {key}, i, lag(i, 1, 0) OVER (PARTITION BY {key} ORDER BY i) AS a FROM qcut),
+ qsent AS (SELECT {key}, i, trim(t[a + 1:i]) AS sentence FROM qseg JOIN flat USING ({key})),
+ qs AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY i) - 1)::INTEGER AS sent_no, sentence FROM qsent WHERE sentence <> '')"""
+
+
 def queries(parts: dict) -> dict[str, str]:
     """``parts``: tok, rule_tokens, lex, fixes, words, sentences, kind, blank, fold, turkish, transform, accent."""
     tok, kind = parts["tok"], parts["kind"]
@@ -241,6 +265,7 @@ def queries(parts: dict) -> dict[str, str]:
         "service_stem": rf"WITH RECURSIVE {pieces}, {stemmer(r'''SELECT lower(t) AS w FROM pc WHERE regexp_full_match(t, '\p{L}+')''', lexicon)} SELECT item_id, string_agg(CASE WHEN short.w IS NULL THEN t ELSE t || ' → ' || {_STEM} END, '␟' ORDER BY p) AS results FROM pc LEFT JOIN short ON short.w = lower(t) AND short.k = 1 AND regexp_full_match(t, '\p{{L}}+') LEFT JOIN best ON best.w = short.w AND best.k = 1 GROUP BY item_id",
         "spelling": f"WITH src AS (SELECT * FROM {values(samples.MISSPELLED, 'token')}), {sx}, {spelling('SELECT token FROM src', 'sx', 2)} SELECT src.token, coalesce(corrected, src.token) AS corrected FROM src LEFT JOIN sp_done USING (token)",
         "spelling_corpus": f"WITH fx AS (SELECT word, count(*) AS freq FROM (SELECT unnest(w) AS word FROM ({tok('documents', 'doc_id')})) GROUP BY word), src AS (SELECT DISTINCT unnest(w) AS token FROM ({tok('conversations', 'conv_id')})), {spelling('SELECT token FROM src', 'fx', 1)} SELECT src.token, coalesce(corrected, src.token) AS corrected FROM src LEFT JOIN sp_done USING (token)",
+        "sql_sentences": f"WITH RECURSIVE {stacked_sentences(parts['sentences'], 'benchmark', 'item_id')} SELECT item_id, sent_no, sentence FROM qs",
         "nb_model": f"WITH {training} SELECT class, feature, n FROM nbf",
         "sentences_nb": f"{split} SELECT doc_id, sent_no, sentence FROM nbs",
         "service_sentences_nb": f"{split} SELECT d.doc_id, count(s.doc_id)::INT AS sentence_count, coalesce(string_agg(sentence, '␟' ORDER BY sent_no), '') AS sentences FROM documents d LEFT JOIN nbs s ON s.doc_id = d.doc_id GROUP BY d.doc_id",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -163,7 +166,7 @@ def analyses_from(docs: DataFrame, analyse, text: str = "text", key: str = "doc_
     on the executors. Where answers exist as a table, use ``morph_rows`` alone.
     """
 
-    def run(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
             yield s.map(lambda t: analyse(t) if t else "")
 
