@@ -24,8 +24,8 @@ def _array(x: Column) -> Column:
 
 def corpus_tokens(text: Column | str) -> Column:
     """Lower-cased words made of Turkish letters only; other word runs give no token. Null gives none."""
-    runs = F.regexp_extract_all(tr_lower(_col(text)), F.lit(rf"({WORD}+)"), F.lit(1))
-    return _array(F.filter(runs, lambda t: t.rlike("^[a-zçğıöşü]+$")))
+    whole = rf"(?<!{WORD})([a-zçğıöşü]++)(?!{WORD})"  # a word run of these letters alone
+    return _array(F.regexp_extract_all(tr_lower(_col(text)), F.lit(whole), F.lit(1)))
 
 
 def words_and_gaps(text: Column | str) -> Column:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkhece.functions.text import corpus_tokens
+from sparkhece.sources.shared import stored
+
+
+MOST_WORDS = 5_000  # of a list that is put into expressions
 
 
 def terms(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -20,22 +24,34 @@ def terms(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return out.select(key, "word", "cnt", (F.col("cnt") / F.col("_n")).alias("tf"))
 
 
-def frequencies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def frequencies(docs: DataFrame, text: str = "text", key: str = "doc_id", counted: DataFrame | None = None) -> DataFrame:
     """``(word, df, idf, avg_tf, avg_tfidf)`` in one aggregation; N counts every document, blank ones too.
 
     avg(tf x idf) over a word's documents is avg(tf) x idf, because idf is the word's own.
+    ``counted`` is ``terms`` of the same documents, where the caller has it.
     """
     n = docs.agg(F.count(F.lit(1)).alias("_docs"))
-    per = terms(docs, text, key).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.avg("tf").alias("avg_tf"))
+    per = (terms(docs, text, key) if counted is None else counted).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.avg("tf").alias("avg_tf"))
     idf = F.log(F.col("_docs") / F.col("df"))
     per = per.crossJoin(F.broadcast(n)).withColumn("idf", idf)  # the count is one row
     return per.select("word", "df", "idf", "avg_tf", (F.col("avg_tf") * F.col("idf")).alias("avg_tfidf"), (F.col("df") / F.col("_docs")).alias("df_share"))
 
 
-def tfidf(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(key, word, tf, idf, tfidf)``."""
-    per_word = frequencies(docs, text, key).select("word", "idf")
-    joined = terms(docs, text, key).join(per_word, "word")
+def tfidf(docs: DataFrame, text: str = "text", key: str = "doc_id", hot: int = 20_000) -> DataFrame:
+    """``(key, word, tf, idf, tfidf)``.
+
+    Terms are counted once and stored. The ``hot`` words of most documents, which hold most
+    rows, are joined by broadcast, so none of them meets in one task; the others by shuffle.
+    """
+    counted = stored(terms(docs, text, key).select(key, "word", "tf"), "terms")
+    per_word = stored(frequencies(docs, text, key, counted).select("word", "df", "idf"), "idf")
+    top = per_word.orderBy(F.desc("df"), "word").limit(hot).select(F.col("word").alias("_w"), F.col("idf").alias("_i"))
+    if per_word.count() > hot:
+        first = counted.join(F.broadcast(top), F.col("word") == F.col("_w"), "left")  # at most ``hot`` rows are broadcast
+        rest = first.where("_w IS NULL").select(key, "word", "tf").join(per_word.select("word", "idf"), "word")
+        joined = first.where("_w IS NOT NULL").select(key, "word", "tf", F.col("_i").alias("idf")).unionByName(rest.select(key, "word", "tf", "idf"))
+    else:
+        joined = counted.join(F.broadcast(top), F.col("word") == F.col("_w")).select(key, "word", "tf", F.col("_i").alias("idf"))
     return joined.select(key, "word", "tf", "idf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
@@ -68,9 +84,9 @@ def extremes(freq: DataFrame, n: int = 50, lowest: bool = True) -> DataFrame:
 
 def word_array(stopwords: DataFrame, column: str = "word") -> list[str]:
     """A stop-word list for use inside expressions; lists are lexicons of bounded size (checked)."""
-    rows = stopwords.select(column).distinct().limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("not a stop-word list: more than 100000 words; use remove_by_join")
+    rows = stopwords.select(column).distinct().limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        raise ValueError(f"not a stop-word list: more than {MOST_WORDS} words; use remove_by_join")
     return sorted(r[0] for r in rows if r[0] is not None)
 
 

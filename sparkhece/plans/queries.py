@@ -14,6 +14,7 @@ from sparkhece.operators import evaluate, mltok, normalize, sentences, stem, sto
 from sparkhece.plans import samples, services, source_queries
 from sparkhece.register import register
 from sparkhece.sources import lexicons
+from sparkhece.sources.shared import stored
 from sparkhece.streaming import corpus
 
 IDF, DF, TF, TFIDF = 5.65, 0.15, 0.01, 0.20  # thresholds of the list queries
@@ -33,8 +34,8 @@ def _words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct corpus words of all documents, as a lexicon."""
-    return _t(spark, sf).select(F.explode(text.corpus_tokens("text")).alias("word")).distinct()
+    """Distinct corpus words of all documents, as a lexicon; stored, as plans read it several times."""
+    return stored(_t(spark, sf).select(F.explode(text.corpus_tokens("text")).alias("word")).distinct(), "vocabulary")
 
 
 def _stop(spark: SparkSession, sf: str) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}  # by application: the folder of local sessions that name none
 
@@ -19,3 +19,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         app = spark.sparkContext.applicationId
         base = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="sparkhece-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: for a result that a plan reads several times."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 NAMES = [
     "corpus_tokens", "tfidf", "stopwords_by_idf", "stopword_filter", "stopword_service", "stopword_evaluation", "case_transform", "tokenize_clean", "tokenize_unique",
     "entities", "abbrev_text", "accent_full", "diacritics", "vowels", "sentences_clean", "nb_features", "char_features", "token_macro", "morph_parse", "streaming_df", "sql_functions",
+    "stems", "stem_details", "service_stem", "spelling", "spelling_corpus", "nb_model", "sentences_nb", "service_normalize", "normalize_text", "normalize_status", "accent_words",
+    "diacritics_text", "proper_nouns", "sql_sentences", "source_suffixes", "source_extra_suffixes", "source_abbreviations", "source_annotated", "source_analyser", "source_file_to_file",
 ]
 
 
