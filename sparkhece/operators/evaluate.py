@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,30 @@ def first_errors(df: DataFrame, order: str, scores: str = "scores", n: int = 20)
     return df.where(~F.col(f"{scores}.exact")).orderBy(order).limit(n)
 
 
+def report(means: DataFrame) -> DataFrame:
+    """The lines ``(line_no, line)`` of a metric block, from a ``macro`` table."""
+    shown = [("Samples", F.col("n").cast("string")), ("Errors", F.col("errors").cast("string"))]
+    shown += [(k.capitalize(), F.format_string("%.4f", k)) for k in ("accuracy", "precision", "recall", "f1")]
+    lines = F.array(*[F.concat(F.lit(f"{name}: "), value) for name, value in shown])
+    return means.select(F.posexplode(lines).alias("line_no", "line"))
+
+
+def attempt(work: Callable[[str], str], value: Column | str) -> Column:
+    """``work`` of every value in batches; a value on which it raises gives null, which ``status`` reports as ERROR."""
+
+    def one(x: str | None) -> str | None:
+        try:
+            return work(x)
+        except Exception:  # whatever the rule raises: the row is the error
+            return None
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([one(x) for x in s], dtype=object)
+
+    return F.pandas_udf(run, "string")(F.col(value) if isinstance(value, str) else value)
+
+
 def compare(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> DataFrame:
     """Per metric the two values and the winner, or ``Tie``; inputs are ``macro`` tables."""
     metrics = ["accuracy", "precision", "recall", "f1"]

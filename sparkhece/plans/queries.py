@@ -209,6 +209,13 @@ def spelling(spark, sf):
     return normalize.correct_spelling(words, samples.frame(spark, samples.LEXICON, "word string, freq long"))
 
 
+def spelling_goldens(spark, sf):
+    """The fixed pairs against a lexicon of their right forms."""
+    pairs = samples.frame(spark, samples.SPELLING, "token string, expected string")
+    lex = pairs.groupBy(F.col("expected").alias("word")).agg(F.count(F.lit(1)).alias("freq"))
+    return normalize.correct_spelling(pairs, lex).select("token", "expected", "corrected", evaluate.status(F.col("corrected"), F.col("expected")).alias("status"))
+
+
 def spelling_corpus(spark, sf):
     """One edit; words of the conversations against the documents' words and their counts."""
     lex = _t(spark, sf).select(F.explode(text.corpus_tokens("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
@@ -284,6 +291,17 @@ def token_macro(spark, sf):
     return m.select("n", "errors", *[_r(k, 6).alias(k) for k in ("accuracy", "precision", "recall", "f1")])
 
 
+def token_report(spark, sf):
+    return evaluate.report(evaluate.macro(_scored(spark, sf)))
+
+
+def attempts(spark, sf):
+    """Case counts of words by a rule that fails on words without vowels: those rows are errors."""
+    words = _t(spark, sf, "benchmark").select(F.explode(text.corpus_tokens("text")).alias("token")).distinct()
+    done = words.withColumn("output", evaluate.attempt(lambda w: next(c for c in w if c in "aeıioöuü"), "token"))
+    return done.select("token", "output", evaluate.status(F.col("output"), F.substring("token", 1, 1)).alias("status"))
+
+
 def token_compare(spark, sf):
     out = evaluate.compare(evaluate.macro(_scored(spark, sf)), evaluate.macro(_scored(spark, sf, True)), ("list", "set"))
     return out.select("metric", _r("first", 6).alias("first"), _r("second", 6).alias("second"), "winner")
@@ -428,6 +446,7 @@ QUERIES: dict[str, Query] = {
     "segments": segments,
     "vowels": vowels,
     "spelling": spelling,
+    "spelling_goldens": spelling_goldens,
     "spelling_corpus": spelling_corpus,
     "error_model": error_model,
     "stems": stems,
@@ -443,6 +462,8 @@ QUERIES: dict[str, Query] = {
     "token_scores": token_scores,
     "token_scores_set": partial(token_scores, distinct=True),
     "token_macro": token_macro,
+    "token_report": token_report,
+    "attempts": attempts,
     "token_compare": token_compare,
     "token_errors": token_errors,
     "normalize_accuracy": normalize_accuracy,

@@ -19,6 +19,22 @@ SUFFIXES = [
 ]
 ABBREV = [("th", "theheth"), ("er", "er er"), ("dr", "doktor"), ("der", "der die"), ("of", "out of")]
 MISSPELLED = ["cok", "kitpa", "okll", "gidyorum", "masaa", "ağaç", "evv", "guzel", "arkadas", "kapi"]
+# Misspelled words and what a spelling corrector is to make of them, in their order.
+SPELLING = [
+    ("cok", "çok"), ("cocuk", "çocuk"), ("agac", "ağaç"), ("cicek", "çiçek"), ("kac", "kaç"), ("seker", "şeker"), ("masa", "masa"), ("basla", "başla"),
+    ("isik", "ışık"), ("sarki", "şarkı"), ("agir", "ağır"), ("yagmur", "yağmur"), ("dogru", "doğru"), ("bagir", "bağır"), ("soguk", "soğuk"),
+    ("guzel", "güzel"), ("goz", "göz"), ("sonra", "sonra"), ("gosterge", "gösterge"), ("koy", "köy"), ("uzgun", "üzgün"), ("urun", "ürün"),
+    ("yuksel", "yüksel"), ("gul", "gül"), ("mutlu", "mutlu"), ("sinif", "sınıf"), ("isim", "isim"), ("kitap", "kitap"), ("kirmizi", "kırmızı"),
+    ("yikama", "yıkama"), ("tesekkur", "teşekkür"), ("ogretmen", "öğretmen"), ("ogrenci", "öğrenci"), ("gonul", "gönül"), ("guneş", "güneş"),
+    ("okl", "okul"), ("ktap", "kitap"), ("dfter", "defter"), ("klm", "kalem"), ("mrhaba", "merhaba"), ("okull", "okul"), ("gitt", "git"),
+    ("kaleem", "kalem"), ("evvde", "evde"), ("yazzma", "yazma"), ("gti", "git"), ("evd", "evde"), ("klitap", "kitap"), ("kaelm", "kalem"),
+    ("yerş", "yer"), ("peder", "defter"), ("kelem", "kalem"), ("yaz", "yaz"), ("akul", "okul"), ("gat", "git"), ("ktp", "kitap"), ("klm", "kalem"),
+    ("dftr", "defter"), ("mrh", "merhaba"), ("nslsn", "nasılsın"), ("okldan", "okuldan"), ("merhba", "merhaba"), ("nasilsin", "nasılsın"),
+    ("bugun", "bugün"), ("eglencli", "eğlenceli"), ("sevyorum", "seviyorum"), ("gidyorum", "gidiyorum"), ("geliyrom", "geliyorum"),
+    ("yapiorm", "yapıyorum"), ("biliyrom", "biliyorum"), ("iyii", "iyi"), ("kotuu", "kötü"), ("twtter", "twitter"), ("aksam", "akşam"),
+    ("sabah", "sabah"), ("tesekkurr", "teşekkür"), ("okulda", "okulda"), ("sinifta", "sınıfta"), ("deftre", "defter"), ("ogrencii", "öğrenci"),
+    ("ogretmen", "öğretmen"),
+]
 LEXICON = [("çok", 40), ("kitap", 20), ("okul", 20), ("gidiyorum", 10), ("masa", 15), ("ağaç", 5), ("ev", 60), ("güzel", 30), ("arkadaş", 12), ("kapı", 9), ("kapa", 2), ("geliyorum", 10)]
 ERROR_PAIRS = [("cok", "çok"), ("gzl", "güzel"), ("kitpa", "kitap"), ("evv", "ev"), ("ok", "çok"), ("guzel", "güzel"), ("", "a"), ("b", "")]
 ACCURACY = [("Geliyom", "geliyorum"), ("gidicez", "gidiyeceğiz"), ("TÜRKÇE", "türkçe"), ("cok", "çok"), ("ktp", "kitap"), ("ahmet'ten", "Ahmet'ten"), ("guzel", "güzel"), ("evv", "ev"), ("masa", "masa"), ("okulll", "okul")]

@@ -264,6 +264,8 @@ def queries(parts: dict) -> dict[str, str]:
         "stem_details": f"{stems} SELECT short.w AS word, coalesce(best.f, short.f) AS stem, coalesce(removed, '') AS removed, coalesce(kinds, '') AS categories, coalesce(tenths / 10.0, 0)::DOUBLE AS score, best.f IS NOT NULL OR short.f IN (SELECT word FROM lx) AS valid, greatest(0, least(3, coalesce(n, 0)) - 1)::INT AS alternatives, examined::INT AS total_paths_explored FROM {_FOUND}",
         "service_stem": rf"WITH RECURSIVE {pieces}, {stemmer(r'''SELECT lower(t) AS w FROM pc WHERE regexp_full_match(t, '\p{L}+')''', lexicon)} SELECT item_id, string_agg(CASE WHEN short.w IS NULL THEN t ELSE t || ' → ' || {_STEM} END, '␟' ORDER BY p) AS results FROM pc LEFT JOIN short ON short.w = lower(t) AND short.k = 1 AND regexp_full_match(t, '\p{{L}}+') LEFT JOIN best ON best.w = short.w AND best.k = 1 GROUP BY item_id",
         "spelling": f"WITH src AS (SELECT * FROM {values(samples.MISSPELLED, 'token')}), {sx}, {spelling('SELECT token FROM src', 'sx', 2)} SELECT src.token, coalesce(corrected, src.token) AS corrected FROM src LEFT JOIN sp_done USING (token)",
+        "spelling_goldens": f"WITH src AS (SELECT * FROM {values(samples.SPELLING, 'token, expected')}), gx AS (SELECT expected AS word, count(*) AS freq FROM src GROUP BY expected), {spelling('SELECT token FROM src', 'gx', 2)} SELECT src.token, expected, coalesce(corrected, src.token) AS corrected, CASE WHEN coalesce(corrected, src.token) = expected THEN 'PASS' ELSE 'FAIL' END AS status FROM src LEFT JOIN sp_done USING (token)",
+        "attempts": f"SELECT token, output, CASE WHEN output IS NULL THEN 'ERROR' WHEN output = token[1:1] THEN 'PASS' ELSE 'FAIL' END AS status FROM (SELECT token, nullif(regexp_extract(token, '{_VOWEL}'), '') AS output FROM (SELECT DISTINCT unnest(w) AS token FROM ({tok('benchmark', 'item_id')})))",
         "spelling_corpus": f"WITH fx AS (SELECT word, count(*) AS freq FROM (SELECT unnest(w) AS word FROM ({tok('documents', 'doc_id')})) GROUP BY word), src AS (SELECT DISTINCT unnest(w) AS token FROM ({tok('conversations', 'conv_id')})), {spelling('SELECT token FROM src', 'fx', 1)} SELECT src.token, coalesce(corrected, src.token) AS corrected FROM src LEFT JOIN sp_done USING (token)",
         "sql_sentences": f"WITH RECURSIVE {stacked_sentences(parts['sentences'], 'benchmark', 'item_id')} SELECT item_id, sent_no, sentence FROM qs",
         "nb_model": f"WITH {training} SELECT class, feature, n FROM nbf",
