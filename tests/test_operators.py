@@ -183,3 +183,47 @@ def test_register(spark):
     got = spark.sql("SELECT tr_lower('IŞIK') a, tr_upper('ilk') b, tr_capitalize('istanbul') c, tr_tokens('A b1 c') d, tr_stem('kitaplar') e, tr_tokens_rule('x.') f").first()
     assert tuple(got) == ("ışık", "İLK", "İstanbul", ["a", "c"], "kitap", ["x", "."])
     assert [r.sentence for r in spark.sql("SELECT * FROM tr_sentences('Ali gitti. Veli kaldı.')").collect()] == ["Ali gitti.", "Veli kaldı."]
+
+
+def test_repeated_and_null_keys_keep_texts_apart(spark):
+    """Results depend on the text alone; rows are neither merged nor lost."""
+    from sparkhece.functions.text import spaced_tokens
+    from sparkhece.plans import services
+
+    docs = spark.createDataFrame([(1, "dr bir"), (1, "iki dr"), (1, "iki dr"), (None, "dr uc"), (None, None), (2, "")], "doc_id long, text string")
+    abbrev = spark.createDataFrame([("dr", "doktor")], "abbr string, full_form string")
+    lex = spark.createDataFrame([("üç",), ("doktor",)], "word string")
+    got = sorted((r.doc_id or 0, r.text, r.expanded) for r in normalize.expand_text(docs, abbrev).collect() if r.text is not None)
+    assert got == [(0, "dr uc", "doktor uc"), (1, "dr bir", "doktor bir"), (1, "iki dr", "iki doktor"), (1, "iki dr", "iki doktor"), (2, "", "")]
+    assert [r.expanded for r in normalize.expand_text(docs, abbrev).where("text IS NULL").collect()] == [None]
+    off = ("spelling", "vowels")
+    out = normalize.normalize_sequences(docs, spaced_tokens("text"), lex, abbrev, disabled=off).collect()
+    assert sorted(" ".join(r.normalized) for r in out) == sorted(["doktor bir", "iki doktor", "iki doktor", "doktor üç", "", ""])
+    assert sorted(r.normalized for r in normalize.normalize_text(docs, lex, abbrev, disabled=off).collect()) == sorted(["doktor bir", "iki doktor", "iki doktor", "doktor üç", "", ""])
+    served = services.normalize(docs, lex, abbrev, disabled=off).collect()
+    assert sorted(len(r.results) for r in served) == [0, 0, 2, 2, 2, 2]
+
+
+def test_boundary_scores_with_repeated_and_null_keys(spark):
+    lines = spark.createDataFrame([(1, 1, "Bir iki. "), (1, 2, "Üç dört!"), (1, 3, "Beş altı.")], "d int, line_no int, sentence string")
+    model = sentences.nb_weights(*sentences.nb_train(sentences.nb_examples(lines, group="d")))
+    docs = spark.createDataFrame([(1, "Bir iki. Üç"), (1, "Dört beş! Altı"), (None, "Bir iki. Üç"), (None, None)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.sent_no, r.sentence) for r in sentences.nb_split(docs, "text", ["doc_id"], model).collect())
+    assert got == [(0, 0, "Bir iki."), (0, 1, "Üç"), (1, 0, "Bir iki."), (1, 0, "Dört beş!"), (1, 1, "Altı"), (1, 1, "Üç")]
+
+
+def test_attempts_that_fail_are_error_rows(spark):
+    from sparkhece.operators import evaluate
+
+    rows = spark.createDataFrame([("4", "25"), ("x", "0"), ("2", "50")], "v string, expected string")
+    done = rows.withColumn("out", evaluate.attempt(lambda v: str(100 // int(v)), "v"))
+    got = {r.v: r.s for r in done.select("v", evaluate.status(done.out, done.expected).alias("s")).collect()}
+    assert got == {"4": "PASS", "x": "ERROR", "2": "PASS"}
+
+
+def test_long_text_with_many_marks_splits_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    out = sentences.split_text("Bir! " * 40_000 + '" ' * 1000, False)
+    assert len(out) == 40_001 and time.perf_counter() - began < 20
