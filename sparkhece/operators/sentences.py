@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkhece.functions import rules
+from sparkhece.sources.shared import stored
 
 _MARK = ".!?"
 _CLOSERS = {'"': '"', "'": "'", "«": "»", ",": " "}  # a comma opens what the next blank closes
@@ -153,16 +154,30 @@ def nb_features(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     return spots.select(*keys, F.col("_s.pos").alias("pos"), F.explode("_s.features").alias("feature"))
 
 
+def _with_next(rows: DataFrame) -> DataFrame:
+    """``(s, ex)`` with the next sentence ``n`` in the order of the whole table, without one task for all of it.
+
+    Rows are dealt out by ranges of the order and stored; the last of a range is followed by
+    the first of the next range that has any.
+    """
+    dealt = stored(rows.repartitionByRange("ex").withColumn("_p", F.spark_partition_id()), "ordered")
+    heads = dealt.groupBy("_p").agg(F.min_by("s", "ex").alias("_s"))
+    heads = heads.select("_p", F.lead("_s").over(Window.orderBy("_p")).alias("_after"))  # a row for each range
+    last = F.lead("ex").over(Window.partitionBy("_p").orderBy("ex")).isNull()
+    inner = dealt.select("s", "ex", "_p", F.lead("s").over(Window.partitionBy("_p").orderBy("ex")).alias("n"), last.alias("_last"))
+    return inner.join(F.broadcast(heads), "_p").select("s", "ex", F.when(F.col("_last"), F.col("_after")).otherwise(F.col("n")).alias("n"))
+
+
 def nb_examples(sentences: DataFrame, sentence: str = "sentence", order: str = "line_no", group: str | None = None) -> DataFrame:
     """Training marks ``(ex, class, _t, _i)`` of a table of sentences in order.
 
     In each sentence the last mark is a boundary and those before it are not. Each pair of
     neighbours, written together without and with a blank, gives a boundary where the first ends in
     a mark. ``group`` keeps neighbours within documents; without it the order is one of the
-    whole table, which is one sorted sequence.
+    whole table.
     """
-    w = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy(order)
-    s = sentences.select(F.trim(F.col(sentence)).alias("s"), F.lead(F.trim(F.col(sentence))).over(w).alias("n"), F.col(order).alias("ex"))
+    s = sentences.select(F.trim(F.col(sentence)).alias("s"), F.col(order).alias("ex"), *([F.col(group).alias("_g")] if group else []))
+    s = s.withColumn("n", F.lead("s").over(Window.partitionBy("_g").orderBy("ex"))) if group else _with_next(s)
     marks = F.expr("filter(sequence(1, greatest(length(s), 1)), i -> substring(s, i, 1) IN ('.', '!', '?'))")
     inner = s.select("ex", F.col("s").alias("_t"), F.explode(marks).alias("_i"), F.array_max(marks).alias("_last"))
     inner = inner.select("ex", F.when(F.col("_i") == F.col("_last"), "boundary").otherwise("non_boundary").alias("class"), "_t", "_i")

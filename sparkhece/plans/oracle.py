@@ -240,7 +240,7 @@ SELECT metric, round(x, 6) AS first, round(y, 6) AS second, CASE WHEN x > y THEN
     "token_report": f"""WITH {_scores(False)}, m AS ({_MACRO}) SELECT unnest(range(6))::INT AS line_no, unnest(['Samples: ' || n, 'Errors: ' || errors, 'Accuracy: ' || printf('%.4f', accuracy), 'Precision: ' || printf('%.4f', precision),
  'Recall: ' || printf('%.4f', recall), 'F1: ' || printf('%.4f', f1)]) AS line FROM m""",
     "token_errors": f"WITH {_scores(False)} SELECT doc_id, round(f1, 9) AS f1 FROM sc WHERE NOT exact ORDER BY doc_id LIMIT 20",
-    "sql_functions": f"SELECT conv_id, turn, {_lower('text')} AS low, upper(translate(replace(text, 'ß', 'ss'), 'ıi', 'Iİ')) AS up, len(w)::INT AS n_tokens, {_FOLD.format('text')} AS folded FROM (SELECT *, list_filter(regexp_extract_all({_lower('text')}, '{_W}+'), lambda t: regexp_full_match(t, '[a-zçğıöşü]+')) AS w FROM conversations)",
+    "sql_functions": f"SELECT conv_id, turn, {_lower('text')} AS low, {_upper('text')} AS up, len(w)::INT AS n_tokens, {_FOLD.format('text')} AS folded FROM (SELECT *, list_filter(regexp_extract_all({_lower('text')}, '{_W}+'), lambda t: regexp_full_match(t, '[a-zçğıöşü]+')) AS w FROM conversations)",
 }
 _PARTS = {
     "tok": _tok, "rule_tokens": _rule_tokens, "fixes": _FIXES, "words": _WORDS, "sentences": _SENTENCES, "kind": _kind, "blank": _SPACES, "pieces": _PIECES,

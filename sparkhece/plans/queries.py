@@ -392,7 +392,7 @@ def sql_functions(spark, sf):
     register(spark)
     _t(spark, sf, "conversations").createOrReplaceTempView("sparkhece_conversations")
     return spark.sql(
-        "SELECT conv_id, turn, tr_lower(text) AS low, tr_upper(replace(text, 'ß', 'ss')) AS up, size(tr_tokens(text)) AS n_tokens, tr_fold(text) AS folded FROM sparkhece_conversations"
+        "SELECT conv_id, turn, tr_lower(text) AS low, tr_upper(text) AS up, size(tr_tokens(text)) AS n_tokens, tr_fold(text) AS folded FROM sparkhece_conversations"
     )
 
 

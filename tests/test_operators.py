@@ -227,3 +227,11 @@ def test_long_text_with_many_marks_splits_in_linear_time():
     began = time.perf_counter()
     out = sentences.split_text("Bir! " * 40_000 + '" ' * 1000, False)
     assert len(out) == 40_001 and time.perf_counter() - began < 20
+
+
+def test_neighbours_of_a_whole_table(spark):
+    rows = [(i, f"Cümle {i}." if i % 3 else f"cümle {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "line_no int, sentence string").repartition(7)
+    got = sorted((r.ex, r["class"], r._t, r._i) for r in sentences.nb_examples(df).collect())
+    one = sorted((r.ex, r["class"], r._t, r._i) for r in sentences.nb_examples(df.withColumn("g", F.lit(1)), group="g").collect())
+    assert got == one and sum("." in t[:-1] for _, _, t, _ in got) == 66 - (49 % 3 > 0) * 2
