@@ -5,11 +5,12 @@ domains: multinomial naive Bayes over counts of character sequences. The sequenc
 of all runs of 1 to 3 characters in a sample of labelled texts those that tell most about the
 domain (mutual information) are taken; their odds are counted in the whole text of all
 labelled rows. Document rates ``r >= 0`` (expected copies) then minimise the squared distance
-between the expected token totals ``sum_i r_i t_i p_i`` and the targets, weighted per domain
-by one over its curvature ``s_d``. The gradient step is scaled per document by its tokens, so
-few rounds are needed:
+between the expected token totals ``sum_i r_i t_i p_i`` and the targets by projected gradient
+steps. The distance is weighted by the inverse of the domains' curvature ``G = sum_i t_i p_i p_i'``
+and the step is scaled per document by its tokens, which gives the whole problem the curvature
+1: the step is 1, and one round is enough where no rate reaches zero:
 
-    r_i <- max(0, r_i - step * sum_d p_id * residual_d / s_d)
+    r_i <- max(0, r_i - p_i' G^-1 residual)
 
 Each round is one aggregate of as many sums as there are domains. Rates are a fold over the
 residuals so far, written out every ``cut`` rounds to keep expressions short; nothing else is
@@ -35,6 +36,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,25 +128,21 @@ def fit_rates(soft: DataFrame, weights: list[float], rounds: int = ROUNDS, toler
     first = soft.agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("t"), *[F.coalesce(F.sum(F.col("_t") * F.col(f"p{a}") * F.col(f"p{b}")), F.lit(0.0)).alias(f"g{a}_{b}") for a, b in pairs]).first()
     targets = [w * first["t"] for w in weights]
     gram = [[float(first[f"g{min(a, b)}_{max(a, b)}"]) for b in d] for a in d]
-    scale = [max(gram[a][a], 1e-9) for a in d]
-    v, top = [1.0] * len(weights), 1.0
-    for _ in range(50):  # the largest eigenvalue of the scaled curvature
-        u = [sum(gram[a][b] / math.sqrt(scale[a] * scale[b]) * v[b] for b in d) for a in d]
-        top = max(math.sqrt(sum(x * x for x in u)), 1e-12)
-        v = [x / top for x in u]
-    step = 1.0 / max(top, 1e-9)
+    g = np.array(gram)
+    inverse = np.linalg.inv(g + np.eye(len(weights)) * max(1e-9 * np.trace(g), 1e-9))
     cur, rate, since = soft.withColumn("_r", F.lit(1.0)), F.col("_r"), 0
     before = math.inf
     while True:
         got = cur.agg(*[F.coalesce(F.sum(F.col("_t") * F.col(f"p{a}") * rate), F.lit(0.0)).alias(f"a{a}") for a in d]).first()
         reached = [float(got[f"a{a}"]) for a in d]
         residual = [reached[a] - targets[a] for a in d]
-        distance = sum(x * x / scale[a] for a, x in enumerate(residual))
+        shift = inverse @ np.array(residual)
+        distance = float(np.array(residual) @ shift)
         done = max(map(abs, residual)) <= tolerance * max(first["t"], 1) or distance >= before * (1 - STALLED)
         if done or rounds == 0:
             return cur.withColumn("_rate", rate).drop("_r"), targets, reached, done
         before = distance
-        rate = F.greatest(F.lit(0.0), rate - _sum([F.col(f"p{a}") * (step * residual[a] / scale[a]) for a in d]))
+        rate = F.greatest(F.lit(0.0), rate - _sum([F.col(f"p{a}") * float(shift[a]) for a in d]))
         rounds, since = rounds - 1, since + 1
         if since == cut:
             cur, rate, since = materialize(cur.withColumn("_r", rate), "mix-rates"), F.col("_r"), 0

@@ -282,15 +282,30 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], jaccar
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The shingle sets of the paragraphs asked for (``want``: position and id)."""
+    pids, sets, held = [], [], 0
     for batch in batches:
         for text, want in zip(batch["t"], batch["want"], strict=True):
             lines = text.split("\n")
-            units = [word_hashes(paragraph_words(lines[w["at"]])) for w in want]
-            yield pd.DataFrame({"pid": [w["pid"] for w in want], "s": [np.unique(shingle_hashes([u])[0]).view(np.int64) for u in units]})
+            for w in want:
+                pids.append(w["pid"])
+                sets.append(np.unique(shingle_hashes([word_hashes(paragraph_words(lines[w["at"]]))])[0]).view(np.int64))
+                held += len(sets[-1])
+            if held >= GROUP_WORDS:
+                yield pd.DataFrame({"pid": pids, "s": sets})
+                pids, sets, held = [], [], 0
+    if pids:
+        yield pd.DataFrame({"pid": pids, "s": sets})
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Digests of all runs of ``PASSAGE`` words that hold one of the anchors ``places`` and touch no removed line."""
+    found, held = [], 0
+
+    def told() -> pd.DataFrame:
+        n = [len(f[2]) for f in found]
+        keys = pd.Series([f[0] for f in found]).repeat(n).reset_index(drop=True)
+        return pd.DataFrame({"k": keys, "x": np.repeat(np.array([f[1] for f in found]), n), **{c: np.concatenate([f[i] for f in found]) for i, c in ((2, "pos"), (3, "hi"), (4, "lo"))}})
+
     for batch in batches:
         for k, x, text, removed, places in zip(batch["k"], batch["x"], batch["t"], batch["removed"], batch["places"], strict=True):
             lines = [paragraph_words(line) for line in text.split("\n")]
@@ -303,8 +318,13 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 starts[max(0, ends[i] - len(lines[i]) - PASSAGE + 1) : ends[i]] = False
             at = np.flatnonzero(starts[: max(0, len(words) - PASSAGE + 1)])
             if len(at):
-                hi, lo = gram_hashes(words, PASSAGE)[at].view(np.int64), gram_hashes(words, PASSAGE, 100)[at].view(np.int64)
-                yield pd.DataFrame({"k": [k] * len(at), "x": x, "pos": at.astype(np.int32), "hi": hi, "lo": lo})
+                found.append((k, x, at.astype(np.int32), gram_hashes(words, PASSAGE)[at].view(np.int64), gram_hashes(words, PASSAGE, 100)[at].view(np.int64)))
+                held += len(at)
+            if held >= GROUP_WORDS:
+                yield told()
+                found, held = [], 0
+    if found:
+        yield told()
 
 
 def cut(text: str, removed: list[int], spans: np.ndarray) -> tuple[str, int]:

@@ -155,10 +155,17 @@ def _signatures(shingle: int):
 
 def _shingle_sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pids, sets, held = [], [], 0
         for batch in batches:
             for pid, t in zip(batch["pid"], batch["t"], strict=True):
-                h = paragraphs.shingle_hashes([paragraphs.word_hashes(paragraphs.paragraph_words(t))], shingle)[0]
-                yield pd.DataFrame({"pid": [pid], "s": [np.unique(h).view(np.int64)]})
+                pids.append(pid)
+                sets.append(np.unique(paragraphs.shingle_hashes([paragraphs.word_hashes(paragraphs.paragraph_words(t))], shingle)[0]).view(np.int64))
+                held += len(sets[-1])
+                if held >= paragraphs.GROUP_WORDS:
+                    yield pd.DataFrame({"pid": pids, "s": sets})
+                    pids, sets, held = [], [], 0
+        if pids:
+            yield pd.DataFrame({"pid": pids, "s": sets})
 
     return run
 
