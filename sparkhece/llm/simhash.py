@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkhece.llm import paragraphs
-from sparkhece.llm.common import components, discard, materialize, sized
+from sparkhece.llm.common import components, discard, materialize, plain, restored, sized
 
 SHINGLE, SEED, PAIR_LIMIT = 3, 42, 48
 _LOWER = bytes(c + 32 * (65 <= c <= 90) for c in range(256))
@@ -210,12 +210,13 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     places = places.select("k", "x", "n", F.struct("k", "x").eqNullSafe(F.col("lead")).alias("first")).where("n > 1 OR NOT first")
     places = materialize(places.select(F.struct("k", "x", "n", "first").alias("_copy")), "copies")
 
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_copy.k")) & (F.xxhash64(body) == F.col("_copy.x"))
+    own, names = plain(docs)
+    same = F.col(names[key]).eqNullSafe(F.col("_copy.k")) & (F.xxhash64(F.coalesce(F.col(names[text]), F.lit(""))) == F.col("_copy.x"))
     n_places = places.count()
-    kept = docs.join(sized(places, n_places, 64), same, "left_anti")
+    kept = own.join(sized(places, n_places, 64), same, "left_anti")
     leads = places.where("_copy.first")
     n_leads = leads.count()
     if n_leads:  # rows that agree in key and text: one of them
-        again = docs.join(sized(leads, n_leads, 64), same).groupBy("_copy.k", "_copy.x").agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+        again = own.join(sized(leads, n_leads, 64), same).groupBy("_copy.k", "_copy.x").agg(F.first(F.struct(*names.values())).alias("_row"))
         kept = kept.union(again.select("_row.*"))
-    return kept
+    return restored(kept, names)

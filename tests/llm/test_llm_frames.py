@@ -355,3 +355,23 @@ def test_paragraph_dedup_clashing_names_and_repeats(spark):
     df = spark.createDataFrame([(1, line, *names), (1, line, *names), (2, f"{line}\nkalan", *names), (None, line, *names)], ["doc_id", "text", *names])
     got = paragraphs.dedup_paragraphs(df).orderBy("doc_id", "text").collect()
     assert [(r.doc_id, r.text) for r in got] == [(None, line), (1, ""), (1, ""), (2, "kalan")] and all(r.removed == "removed" and r.starts == "starts" for r in got)
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_on_edges(spark, tmp_path, stage):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names and empty tables."""
+    import corpus_pipeline
+
+    good = " ".join(f"word{i % 89} and" for i in range(300))
+    rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (1, "another text of the same key", "en", "a", 1), (None, None, None, None, None), (2, "", "fr", "b", 0), (None, "kısa", "fr", None, 3), (3, LONG, "de", "c", None)]
+    names = "hits dedup _score _copy _row k x p0 _t lang2 _c0 _r0 comp n_hit removed fp".split()
+    df = spark.createDataFrame([(*r, *names) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    spark.createDataFrame([(7, "none of these words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(None, 1, 0), (4, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    name, run = corpus_pipeline.STAGES[stage]
+    got = run(spark, df, str(tmp_path)).collect()
+    # near copies: the repeated row goes, and null and empty text are one; equal rows are one document to the paragraph stage
+    assert len(got) == {"quality": 7, "simhash": 5, "paragraphs": 7, "decontamination": 7, "mixing": 7}[name]
+    if name != "mixing":
+        assert got[0].asDict().keys() == set(df.columns) and all(r.hits == "hits" and r._copy == "_copy" and r._c0 == "_c0" for r in got)
+    assert run(spark, df.limit(0), str(tmp_path)).count() == 0
