@@ -388,6 +388,20 @@ def streaming_df(spark, sf):
     return corpus.run_available(corpus.document_frequency(corpus.read_documents(spark, f"{sf}/documents.parquet")))
 
 
+def windowed_df(spark, sf):
+    """Document frequencies by day, where a document comes every hour."""
+    docs = corpus.read_documents(spark, f"{sf}/documents.parquet").withColumn("at", F.timestamp_seconds(F.col("doc_id") * 3600))
+    out = corpus.run_available(corpus.windowed_frequency(docs, "at"))
+    return out.select((F.unix_timestamp("window.start") / 86400).cast("long").alias("day"), "word", "df")
+
+
+def service_tokenize_ml(spark, sf):
+    gold = _t(spark, sf, "benchmark").select("item_id", "text", tokenize.rule_tokens("text").alias("tokens"))
+    model = mltok.train(mltok.labelled(gold, keys=["item_id"]), iterations=30)
+    out = services.tokenize_ml(gold.select("item_id", "text"), model, key="item_id")
+    return out.select("item_id", _joined("tokens"), _joined("unique_tokens"))
+
+
 def sql_functions(spark, sf):
     register(spark)
     _t(spark, sf, "conversations").createOrReplaceTempView("sparkhece_conversations")
@@ -479,6 +493,8 @@ QUERIES: dict[str, Query] = {
     "normalize_sequences": normalize_sequences,
     "normalize_text": normalize_text,
     "streaming_df": streaming_df,
+    "windowed_df": windowed_df,
+    "service_tokenize_ml": service_tokenize_ml,
     "sql_functions": sql_functions,
     "sql_sentences": sql_sentences,
     **source_queries.QUERIES,

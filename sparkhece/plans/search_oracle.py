@@ -259,7 +259,14 @@ def queries(parts: dict) -> dict[str, str]:
     morph = f"""ml AS (SELECT p, line, starts_with(line, chr(9)) AS tab FROM ({lines(samples.MORPH)}) WHERE trim(line, ' ' || chr(9)) <> '' AND NOT starts_with(line, repeat('-', 50))),
  mg AS (SELECT *, sum((NOT tab)::INT) OVER (ORDER BY p) AS g FROM ml), mw AS (SELECT g, trim(line) AS word FROM mg WHERE NOT tab), ml2 AS (SELECT word, max(g) AS g FROM mw GROUP BY word),
  mp AS (SELECT 1::BIGINT AS doc_id, word, trim(line, ' ' || chr(9)) AS analysis FROM mg JOIN ml2 USING (g) WHERE tab)"""
+    marked = " ".join(f"WHEN c = '{a}' THEN ['{a}', {', '.join(repr(x) for x in ('ıî' if a == 'i' else b))}]" for a, b in rules.DIACRITIC_PAIRS.items())
+    variants = f"""RECURSIVE src AS (SELECT DISTINCT unnest(w) AS token FROM ({tok('benchmark', 'item_id')})),
+ vr AS (SELECT token, 0 AS i, [''] AS forms FROM src
+  UNION ALL SELECT token, i + 1, list_slice(flatten(list_transform(forms, lambda f: list_transform(o, lambda x: f || x))), 1, 200)
+  FROM (SELECT token, i, forms, CASE {marked} ELSE [c] END AS o FROM (SELECT token, i, forms, token[i + 1:i + 1] AS c FROM vr WHERE i < len(token))))"""
     return {
+        "diacritic_variants": f"WITH {variants} SELECT token, unnest(range(len(forms)))::INT AS pos, unnest(forms) AS variant FROM vr WHERE i = len(token)",
+        "windowed_df": f"SELECT doc_id // 24 AS day, word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS word FROM ({tok('documents', 'doc_id')})) GROUP BY ALL",
         "stems": f"{stems} SELECT short.w AS token, {_STEM} AS stem FROM {_FOUND}",
         "stem_details": f"{stems} SELECT short.w AS word, coalesce(best.f, short.f) AS stem, coalesce(removed, '') AS removed, coalesce(kinds, '') AS categories, coalesce(tenths / 10.0, 0)::DOUBLE AS score, best.f IS NOT NULL OR short.f IN (SELECT word FROM lx) AS valid, greatest(0, least(3, coalesce(n, 0)) - 1)::INT AS alternatives, examined::INT AS total_paths_explored FROM {_FOUND}",
         "service_stem": rf"WITH RECURSIVE {pieces}, {stemmer(r'''SELECT lower(t) AS w FROM pc WHERE regexp_full_match(t, '\p{L}+')''', lexicon)} SELECT item_id, string_agg(CASE WHEN short.w IS NULL THEN t ELSE t || ' → ' || {_STEM} END, '␟' ORDER BY p) AS results FROM pc LEFT JOIN short ON short.w = lower(t) AND short.k = 1 AND regexp_full_match(t, '\p{{L}}+') LEFT JOIN best ON best.w = short.w AND best.k = 1 GROUP BY item_id",
