@@ -446,7 +446,8 @@ def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     out, names = plain(docs)
     own, body, mark = F.col(names[key]), F.col(names[text]), F.col("_mark")
     out = out.join(sized(marks, marks.count(), 256), own.eqNullSafe(mark["k"]) & (F.xxhash64(body) == mark["x"]), "left")
-    done = F.pandas_udf(_cut, "text string, n_removed long, n_spans int")(F.when(mark.isNotNull(), body), mark["removed"], mark["starts"])
+    cutter = F.pandas_udf(_cut, "text string, n_removed long, n_spans int").asNondeterministic()  # else a filter on the result cuts every text twice
+    done = cutter(F.when(mark.isNotNull(), body), mark["removed"], mark["starts"])
     out = out.withColumn("_cut", done)
     told = F.struct(
         F.col("_cut.n_removed").alias("n_removed"),
