@@ -139,7 +139,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
     items = items.select("key", F.explode("items").alias("item")).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     told = held.select(F.col("key").alias("_held"), covered.alias("n_hit")).join(items, F.col("_held") == F.col("key"), "left")
     told = materialize(told.select(F.struct(F.col("_held").alias("key"), "n_hit", "items").alias("_hits")), "told")
-    discard(found, cand, words, seeds, held)
+    discard(windows, found, cand, words, seeds, held)
 
     out, names = plain(docs)
     own = F.col(names[text])

@@ -50,7 +50,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkhece.llm.common import materialize, plain, restored, sized
+from sparkhece.llm.common import discard, materialize, plain, restored, sized
 
 SAME_SHARE, LEAST_PAGES, MAIN_SHARE, MAIN_PAGES = 0.8, 3, 0.9, 8
 SMALL, KEPT_CELLS = 400, 1 << 22  # pairs of children up to which plain lists are used, and a whole table is kept
@@ -453,9 +453,9 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     at = F.struct(F.xxhash64(body).alias("h"), F.length(body).alias("n"))
 
     # the reference of each host and set of tags; sets of few pages use that of the most frequent set
-    kinds = materialize(named.groupBy("_host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at")), "shapes")
-    top = kinds.groupBy("_host").agg(F.max_by("at", F.struct("n", "_shape")).alias("top"))
-    kinds = kinds.join(top, "_host").select(F.col("_host").alias("_h"), F.col("_shape").alias("_s"), F.when(F.col("n") >= LEAST_PAGES, F.col("at")).otherwise(F.col("top")).alias("_at"))
+    shapes = materialize(named.groupBy("_host", "_shape").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("at")), "shapes")
+    top = shapes.groupBy("_host").agg(F.max_by("at", F.struct("n", "_shape")).alias("top"))
+    kinds = shapes.join(top, "_host").select(F.col("_host").alias("_h"), F.col("_shape").alias("_s"), F.when(F.col("n") >= LEAST_PAGES, F.col("at")).otherwise(F.col("top")).alias("_at"))
     kinds = materialize(kinds, "kinds")
     asked = materialize(kinds.select(F.col("_h").alias("_rh"), F.col("_at").alias("_ra")).distinct(), "asked")
     first = named.select("_host", at.alias("at"), body.alias("r")).join(sized(asked, asked.count(), 128), (F.col("_host") == F.col("_rh")) & (F.col("at") == F.col("_ra")))
@@ -466,6 +466,7 @@ def extract(pages: DataFrame, url: str = "url", page: str = "html", out: str = "
     kind = "array<struct<slot:int,same:boolean,main:boolean,text:string>>"
     cut = cut.withColumn("_blocks", F.pandas_udf(_candidates, kind)(body, F.col("_ref"))).select(*names.values(), "_h", "_at", "_blocks")
     cut = materialize(cut, "blocks")
+    discard(shapes, kinds, asked, first)
 
     slots = cut.select("_h", "_at", F.explode("_blocks").alias("b")).where("b.slot >= 0 AND b.same IS NOT NULL")
     slots = slots.groupBy("_h", "_at", "b.slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b.same").cast("int")).alias("same"))

@@ -106,6 +106,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text:
     marked = materialize(marked, "mix-counts")
     learned = marked.join(told, marked[key] == F.col("_k")).groupBy("_d").agg(F.sum("_t").alias("_t"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(n)])
     rows = sorted(learned.collect(), key=lambda r: r["_d"])
+    discard(told)
     domains = [r["_d"] for r in rows] or ["all"]
     if not rows:
         return marked.select(key, "_t", F.lit(1.0).alias("p0")), domains

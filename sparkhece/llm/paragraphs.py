@@ -277,6 +277,8 @@ def clusters(units: DataFrame, sets_of: Callable[[DataFrame], DataFrame], jaccar
         more = materialize(_unlinked(large, sets, comp, jaccard), "more")
         if not more.isEmpty():
             comp = components(edges.union(more), "paragraphs").select(F.col("node").alias("pid"), "comp")
+        discard(more)
+    discard(pairs, large, ids, sets, edges)  # the components are tables of their own
     return comp
 
 
@@ -433,8 +435,9 @@ def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     named = units.select("pid", "place", "n").join(named, "pid", "left")
     named = materialize(named.where("n > 1 OR comp IS NOT NULL").select("pid", "place", F.coalesce("comp", "pid").alias("comp")), "repeated")
     lead = named.groupBy("comp").agg(F.min("place").alias("lead"))
-    named = materialize(named.join(lead, "comp").select("pid", "lead"), "leads")
-    gone = lines.select("pid", "place").join(sized(named, named.count(), 64), "pid").where(~F.col("place").eqNullSafe(F.col("lead")))
+    leads = materialize(named.join(lead, "comp").select("pid", "lead"), "leads")
+    discard(named)
+    gone = lines.select("pid", "place").join(sized(leads, leads.count(), 64), "pid").where(~F.col("place").eqNullSafe(F.col("lead")))
     gone = gone.groupBy(F.col("place.k").alias("k2"), F.col("place.x").alias("x2")).agg(F.sort_array(F.collect_set("place.at")).alias("removed"))
     gone = materialize(gone, "removed")
     spans = passages(texts, found.select("k", "x", "pos", "h", "first", "last"), gone)
@@ -443,6 +446,7 @@ def dedup_paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     # x2 is null where only spans are; keys may be null themselves
     either = lambda a, b: F.when(F.col("x2").isNull(), F.col(b)).otherwise(F.col(a))
     marks = materialize(marks.select(F.struct(either("k2", "k3").alias("k"), either("x2", "x3").alias("x"), "removed", "starts").alias("_mark")), "marks")
+    discard(found, units, leads, gone, spans)
     out, names = plain(docs)
     own, body, mark = F.col(names[key]), F.col(names[text]), F.col("_mark")
     out = out.join(sized(marks, marks.count(), 256), own.eqNullSafe(mark["k"]) & (F.xxhash64(body) == mark["x"]), "left")

@@ -203,20 +203,20 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
 
     named = units.select("pid", "place", "n").join(comp, "pid", "left").where("n > 1 OR comp IS NOT NULL")
     named = materialize(named.select("pid", "place", F.coalesce("comp", "pid").alias("comp")), "named")
-    named = materialize(named.join(named.groupBy("comp").agg(F.min("place").alias("lead")), "comp").select("pid", "lead"), "leads")
-    n_named = named.count()
-    held = marked.select("k", "x", "pid").join(sized(named, n_named, 48), "pid")
+    leads = materialize(named.join(named.groupBy("comp").agg(F.min("place").alias("lead")), "comp").select("pid", "lead"), "leads")
+    held = marked.select("k", "x", "pid").join(sized(leads, leads.count(), 48), "pid")
     places = held.groupBy("k", "x").agg(F.first("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
     places = places.select("k", "x", "n", F.struct("k", "x").eqNullSafe(F.col("lead")).alias("first")).where("n > 1 OR NOT first")
     places = materialize(places.select(F.struct("k", "x", "n", "first").alias("_copy")), "copies")
+    discard(marked, units, heads, near, named, leads)
 
     own, names = plain(docs)
     same = F.col(names[key]).eqNullSafe(F.col("_copy.k")) & (F.xxhash64(F.coalesce(F.col(names[text]), F.lit(""))) == F.col("_copy.x"))
     n_places = places.count()
     kept = own.join(sized(places, n_places, 64), same, "left_anti")
-    leads = places.where("_copy.first")
-    n_leads = leads.count()
-    if n_leads:  # rows that agree in key and text: one of them
-        again = own.join(sized(leads, n_leads, 64), same).groupBy("_copy.k", "_copy.x").agg(F.first(F.struct(*names.values())).alias("_row"))
+    twice = places.where("_copy.first")
+    n_twice = twice.count()
+    if n_twice:  # rows that agree in key and text: one of them
+        again = own.join(sized(twice, n_twice, 64), same).groupBy("_copy.k", "_copy.x").agg(F.first(F.struct(*names.values())).alias("_row"))
         kept = kept.union(again.select("_row.*"))
     return restored(kept, names)
