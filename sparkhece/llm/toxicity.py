@@ -91,8 +91,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     rows = labelled_sample(docs, labels, key, text, label, max_train, salt=9)
     rows = materialize(rows.select("k", "k2", "y", F.pandas_udf(_features, "array<int>")("t").alias("x")), "toxic-rows")
     often = rows.select(F.explode("x").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_ROWS)
-    kept = np.zeros(1 << BITS, dtype=bool)
-    kept[[r["f"] for r in often.select("f").collect()]] = True  # at most 2**BITS numbers
+    bits = often.groupBy(F.shiftright("f", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, f & 31)")).alias("bits"))
+    masks = np.zeros((1 << BITS) >> 5, dtype="<u4")
+    for r in bits.collect():  # at most 2**BITS / 32 rows
+        masks[r["at"]] = r["bits"]
+    kept = np.unpackbits(masks.view(np.uint8), bitorder="little").astype(bool)
     kept = docs.sparkSession.sparkContext.broadcast(kept)
 
     def packed(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
